@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,10 +169,16 @@ def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
     return restore(text)
 
 
+def checked_sql(text: str, mapping: dict[str, str] | None = None) -> str:
+    """Like `to_sql`; text Spark cannot parse raises `RuleError`."""
+    sql = to_sql(text, mapping)
+    try:
+        F.expr(sql)
+    except ParseException as e:
+        raise RuleError(f"cannot parse rule: {text}: {str(e).strip().splitlines()[0]}") from e
+    return sql
+
+
 def parse_rule_expression(text: str, column_mapping: dict[str, str] | None = None) -> Column:
     """The rule as a Column; text Spark cannot parse raises `RuleError`."""
-    sql = to_sql(text, column_mapping)
-    try:
-        return F.expr(sql)
-    except Exception as e:  # ParseException of the session in use
-        raise RuleError(f"cannot parse rule: {text}: {str(e).splitlines()[0]}") from e
+    return F.expr(checked_sql(text, column_mapping))

@@ -29,20 +29,36 @@ class Run:
         return F.lit(self.at.isoformat(sep=" ")).cast("timestamp")
 
 
-def _entry(rule: Rule, checked: Column | None, failed: Column | None, error: str | None) -> Column:
-    bigint_null = F.lit(None).cast("bigint")
-    return F.struct(
-        F.lit(rule.rule_id).alias("rule_id"),
-        F.lit(rule.rule_name or rule.rule_id).alias("rule_name"),
-        F.lit(rule.assignment_id).cast("string").alias("assignment_id"),
-        F.array(*[F.lit(c) for c in rule.columns]).cast("array<string>").alias("column_names"),
-        F.lit(rule.rule_category).alias("rule_category"),
-        F.lit(rule.severity_level).alias("severity_level"),
-        F.lit(rule.threshold_value).cast("double").alias("threshold_value"),
-        (bigint_null if checked is None else checked.cast("bigint")).alias("records_checked"),
-        (bigint_null if failed is None else failed.cast("bigint")).alias("records_failed"),
-        F.lit(error).cast("string").alias("error_message"),
-    )
+# Attributes a rule brings to its result row, in the order `_entry` lists them.
+_ENTRY = (
+    "rule_id", "rule_name", "assignment_id", "column_names", "rule_category", "severity_level",
+    "threshold_value", "records_checked", "records_failed", "error_message",
+)
+
+
+def sql_literal(text: str | None) -> str:
+    """A string as a Spark SQL literal."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
+def _entry(rule: Rule, checked: str, failed: str, error: str | None) -> str:
+    columns = ", ".join(map(sql_literal, rule.columns))
+    threshold = "NULL" if rule.threshold_value is None else repr(float(rule.threshold_value))
+    return ", ".join((
+        sql_literal(rule.rule_id),
+        sql_literal(rule.rule_name or rule.rule_id),
+        sql_literal(rule.assignment_id),
+        f"CAST(array({columns}) AS ARRAY<STRING>)",
+        sql_literal(rule.rule_category),
+        sql_literal(rule.severity_level),
+        f"CAST({threshold} AS DOUBLE)",
+        f"CAST({checked} AS BIGINT)",
+        f"CAST({failed} AS BIGINT)",
+        sql_literal(error),
+    ))
 
 
 def spread_counts(
@@ -56,14 +72,15 @@ def spread_counts(
     `good` holds (rule, name of the checked column, name of the failed column); `bad` holds rules
     that could not be evaluated, with the reason. Rule attributes travel as literals, so no join.
     """
-    entries = [_entry(r, F.col(c), F.col(f), None) for r, c, f in good]
-    entries += [_entry(r, None, None, message) for r, message in bad]
-    return counts.select(*by, F.inline(F.array(*entries)))
+    entries = [_entry(rule, checked, failed, None) for rule, checked, failed in good]
+    entries += [_entry(rule, "NULL", "NULL", message) for rule, message in bad]
+    structs = ", ".join(f"struct({e})" for e in entries)
+    return counts.select(*by, F.expr(f"inline(array({structs}))").alias(*_ENTRY))
 
 
 def error_rows(spark: SparkSession, bad: Sequence[tuple[Rule, str]]) -> DataFrame:
     """Result entries for rules of which nothing could be evaluated."""
-    return spread_counts(spark.range(1), [], bad).drop("id")
+    return spread_counts(spark.range(1), [], bad)
 
 
 def finish(rows: DataFrame, run: Run, by: Sequence[str] = ()) -> DataFrame:

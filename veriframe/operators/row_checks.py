@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
-from veriframe.functions.ruletext import parse_rule_expression
+from veriframe.functions.ruletext import checked_sql
 from veriframe.operators.results import Run, finish, spread_counts
 from veriframe.plans.rules import Rule
 
@@ -20,29 +20,29 @@ from veriframe.plans.rules import Rule
 RULES_PER_SCAN = 400
 
 
-def violation(predicate: Column, null_policy: str = "fail") -> Column:
-    """True where the rule is violated; never null.
+def violation(predicate: str, null_policy: str = "fail") -> str:
+    """SQL that is true where the rule is violated, and never null.
 
     With `fail` an unknown outcome (null) violates the rule, with `skip` it does not.
     """
     if null_policy == "skip":
-        return F.coalesce(~predicate, F.lit(False))
-    return ~F.coalesce(predicate, F.lit(False))
+        return f"coalesce(NOT ({predicate}), false)"
+    return f"NOT coalesce(({predicate}), false)"
 
 
-def _types(df: DataFrame, predicates: Sequence[Column]) -> list[str]:
+def _types(df: DataFrame, predicates: Sequence[str]) -> list[str]:
     """Types of the predicates on this table; raises when Spark cannot resolve one of them."""
     quiet = logging.getLogger("SQLQueryContextLogger")
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:
-        named = [p.alias(f"p{i}") for i, p in enumerate(predicates)]
-        return [f.dataType.simpleString() for f in df.select(*named).schema]
+        named = df.selectExpr(*[f"({p}) AS p{i}" for i, p in enumerate(predicates)])
+        return [f.dataType.simpleString() for f in named.schema]
     finally:
         quiet.setLevel(level)
 
 
-def _why_not(df: DataFrame, rule: Rule, predicate: Column) -> str | None:
+def _why_not(df: DataFrame, rule: Rule, predicate: str) -> str | None:
     """The reason why the predicate cannot be evaluated on this table, if there is one."""
     try:
         kind = _types(df, [predicate])[0]
@@ -53,15 +53,15 @@ def _why_not(df: DataFrame, rule: Rule, predicate: Column) -> str | None:
 
 def resolve(
     df: DataFrame, rules: Sequence[Rule]
-) -> tuple[list[tuple[Rule, Column]], list[tuple[Rule, str]]]:
-    """Split rules into those with a predicate valid for `df` and those with an error message."""
+) -> tuple[list[tuple[Rule, str]], list[tuple[Rule, str]]]:
+    """Split rules into (rule, SQL condition valid for `df`) and (rule, error message)."""
     parsed, bad = [], []
     for rule in rules:
         if rule.rule_type == "single_field" and len(rule.columns) > 1:
             bad.append((rule, "a single-field rule needs exactly one column"))
             continue
         try:
-            parsed.append((rule, parse_rule_expression(rule.rule_logic, rule.mapping)))
+            parsed.append((rule, checked_sql(rule.rule_logic, rule.mapping)))
         except RuleError as e:
             bad.append((rule, str(e)))
     # One analysis for all; only when it fails each rule is looked at by itself.
@@ -81,16 +81,14 @@ def resolve(
 
 
 def count_violations(
-    df: DataFrame, resolved: Sequence[tuple[Rule, Column]], by: Sequence[str] = ()
+    df: DataFrame, resolved: Sequence[tuple[Rule, str]], by: Sequence[str] = ()
 ) -> DataFrame:
     """One wide row (per group): `checked`, and `failed_<i>` for the i-th rule."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("checked"),
-        *[
-            F.count_if(violation(predicate, rule.null_policy)).alias(f"failed_{i}")
-            for i, (rule, predicate) in enumerate(resolved)
-        ],
-    )
+    failed = [
+        F.expr(f"count_if({violation(predicate, rule.null_policy)}) AS failed_{i}")
+        for i, (rule, predicate) in enumerate(resolved)
+    ]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("checked"), *failed)
 
 
 def check_rows(
@@ -123,7 +121,7 @@ def with_predicates(df: DataFrame, rules: Sequence[Rule], prefix: str = "ok_") -
     good, bad = resolve(df, rules)
     if bad:
         raise RuleError("; ".join(f"{r.rule_id}: {m}" for r, m in bad))
-    return df.select(
-        "*",
-        *[(~violation(p, r.null_policy)).alias(f"{prefix}{r.rule_id}") for r, p in good],
-    )
+    flags = [
+        f"NOT {violation(p, r.null_policy)} AS `{prefix}{r.rule_id}`" for r, p in good
+    ]
+    return df.selectExpr("*", *flags)

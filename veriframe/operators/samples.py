@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
-from veriframe.operators.results import Run
+from veriframe.operators.results import Run, sql_literal
 from veriframe.operators.row_checks import resolve, violation
 from veriframe.operators.topk import top_per_group
 from veriframe.plans.rules import Rule
@@ -21,8 +21,10 @@ def mark_violations(df: DataFrame, rules: Sequence[Rule], name: str = "violated"
     good, _ = resolve(df, rules)
     if not good:
         raise RuleError("no rule can be evaluated on this table")
-    hits = [F.when(violation(p, r.null_policy), F.lit(r.rule_id)) for r, p in good]
-    return df.withColumn(name, F.array_compact(F.array(*hits)))
+    hits = ", ".join(
+        f"CASE WHEN {violation(p, r.null_policy)} THEN {sql_literal(r.rule_id)} END" for r, p in good
+    )
+    return df.withColumn(name, F.expr(f"array_compact(array({hits}))"))
 
 
 def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
