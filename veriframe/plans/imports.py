@@ -129,7 +129,7 @@ def import_rules(
     assign = create_assignments and all(c in df.columns for c in TARGET_COLUMNS)
     if assign:
         known = sources.select(F.col("source_name").alias("target_source"), "source_id")
-        names = F.transform(F.split("target_columns", ","), F.trim)
+        names = F.transform(F.split("target_columns", ","), lambda c: F.trim(c))
         checked = (
             spread_join(checked, known, ["target_source"], "left")
             .withColumn("column_names", names)
