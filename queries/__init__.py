@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["row_rules", "table_rules", "result_queries", "rule_tables"]
+MODULES = ["row_rules", "table_rules", "result_queries", "rule_tables", "profiles", "storage", "streams"]
 
 
 def load_all():
