@@ -16,23 +16,44 @@ from veriframe.plans.rules import Rule
 SAMPLE_SIZE = 100
 
 
-def mark_violations(df: DataFrame, rules: Sequence[Rule], name: str = "violated") -> DataFrame:
-    """The table with an array of the ids of all rules each row violates."""
+def _violations(df: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, str]]:
     good, _ = resolve(df, rules)
     if not good:
         raise RuleError("no rule can be evaluated on this table")
-    hits = ", ".join(
-        f"CASE WHEN {violation(p, r.null_policy)} THEN {sql_literal(r.rule_id)} END" for r, p in good
-    )
-    return df.withColumn(name, F.expr(f"array_compact(array({hits}))"))
+    return [(rule, violation(predicate, rule.null_policy)) for rule, predicate in good]
+
+
+def _ids(violations: Sequence[tuple[Rule, str]]) -> str:
+    """SQL array with the id of each violated rule, and null for each satisfied one."""
+    hits = (f"CASE WHEN {v} THEN {sql_literal(rule.rule_id)} END" for rule, v in violations)
+    return f"array({', '.join(hits)})"
+
+
+def _any(violations: Sequence[tuple[Rule, str]]) -> str:
+    return " OR ".join(f"({v})" for _, v in violations)
+
+
+def mark_violations(df: DataFrame, rules: Sequence[Rule], name: str = "violated") -> DataFrame:
+    """The table with an array of the ids of all rules each row violates."""
+    return df.withColumn(name, F.expr(f"array_compact({_ids(_violations(df, rules))})"))
 
 
 def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """(rows satisfying every rule, rows violating at least one with the ids of those rules)."""
-    marked = mark_violations(df, rules)
-    return marked.where(F.size("violated") == 0).drop("violated"), marked.where(
-        F.size("violated") > 0
-    )
+    """(rows satisfying every rule, rows violating at least one with the ids of those rules).
+
+    Both are plain filters; ids are only put together for rows that violate something.
+    """
+    violations = _violations(df, rules)
+    bad = df.where(_any(violations))
+    ids = F.expr(f"array_compact({_ids(violations)})")
+    return df.where(f"NOT ({_any(violations)})"), bad.withColumn("violated", ids)
+
+
+def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row per row and rule it violates, with `rule_id`."""
+    violations = _violations(df, rules)
+    exploded = df.where(_any(violations)).withColumn("rule_id", F.explode(F.expr(_ids(violations))))
+    return exploded.where("rule_id IS NOT NULL")
 
 
 def masked(column: str, method: str) -> Column:
@@ -66,10 +87,7 @@ def sample_violations(
     assigned to, is only rendered for rows that stay in the sample.
     """
     wanted = [c for c in dict.fromkeys([*key, *(c for r in rules for c in r.columns)])]
-    marked = mark_violations(df, rules)
-    exploded = marked.select(
-        F.explode("violated").alias("rule_id"), *[c for c in wanted if c in df.columns]
-    )
+    exploded = violating_rows(df, rules).select("rule_id", *[c for c in wanted if c in df.columns])
     ranked = top_per_group(exploded, ["rule_id"], [F.col(k) for k in key], sample_size)
     shown = mask_columns(ranked, {c: m for c, m in (sensitive or {}).items() if c in wanted})
     record = F.lit(None).cast("string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # A key is only worth splitting when it alone would keep one task busy much longer than the rest.
 # At most this many keys are split, so the list of them has a fixed size bound.
 MAX_FREQUENT_KEYS = 256
+MIN_SAMPLED_COPIES = 100
 SALTS = 32
 
 
@@ -24,7 +25,7 @@ def frequent_keys(
     """
     counts = df.select(*keys).dropna().sample(fraction=fraction, seed=7).groupBy(*keys).count()
     return (
-        counts.where("count > 1")
+        counts.where(F.col("count") >= MIN_SAMPLED_COPIES)
         .orderBy(F.desc("count"), *keys)
         .limit(min(top, MAX_FREQUENT_KEYS))
         .drop("count")

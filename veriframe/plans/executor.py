@@ -7,10 +7,12 @@ import logging
 import time
 import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriframe.errors import RuleError
 from veriframe.operators.cross_table import check_cross_table, check_totals
@@ -26,7 +28,9 @@ from veriframe.sources.connectors import create_source
 
 log = logging.getLogger(__name__)
 
-Read = Callable[[dict], DataFrame]
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None)
 
 
 def rule_of(row: Row) -> Rule:
@@ -142,11 +146,13 @@ class RuleExecutor:
         execution_id: str | None = None,
         sample_size: int = SAMPLE_SIZE,
         since: dict[str, tuple[str, object]] | None = None,
+        max_parallel: int = 5,
     ) -> DataFrame:
         """Run assignments table by table; a rule or table that fails does not stop the others.
 
-        Returns the result rows in order of priority, then newest assignment first. `since` maps a
-        table name to (column, last checked value) to validate newer rows only.
+        Up to `max_parallel` tables are checked at the same time. Returns the result rows in order
+        of priority, then newest assignment first. `since` maps a table name to (column, last
+        checked value) to validate newer rows only.
         """
         run_id = execution_id or str(uuid.uuid4())
         resolved = self._resolved(assignment_ids)
@@ -157,14 +163,23 @@ class RuleExecutor:
         for row in resolved:
             tables.setdefault((row.source_id, row.schema_name, row.table_name), []).append(row)
         rows = []
-        for (_, _, name), group in tables.items():
-            rows += self._run_table(name, group, run_id, sample_size, (since or {}).get(name))
+        with ThreadPoolExecutor(max(1, max_parallel)) as pool:
+            running = {}
+            for (_, _, name), group in tables.items():
+                self._log(group, run_id, "running", _now())
+                job = (name, group, run_id, sample_size, (since or {}).get(name))
+                running[pool.submit(self._run_table, *job)] = group
+            # Only this thread appends to the shared tables, as soon as a table is done.
+            for done in as_completed(running):
+                made = done.result()
+                self.tables.append_rows("validation_results", made)
+                self._log(running[done], run_id, None, _now(), {r["assignment_id"]: r for r in made})
+                rows += made
         if not rows:
             return self.tables.read("validation_results").limit(0)
         order = {r.assignment_id: i for i, r in enumerate(resolved)}
         rows.sort(key=lambda r: order[r["assignment_id"]])
-        self.tables.append_rows("validation_results", rows)
-        schema = self.tables.read("validation_results").schema
+        schema = StructType.fromDDL(self.tables.schema("validation_results"))
         results = self.spark.createDataFrame([tuple(r[c] for c in schema.names) for r in rows], schema)
         self.tables.append("data_lineage", lineage_rows(results))
         return results
@@ -184,10 +199,9 @@ class RuleExecutor:
         return source.read_data(table=table, schema=schema)
 
     def _run_table(self, name, group, run_id, sample_size, since) -> list[dict]:
-        started, clock = dt.datetime.now(dt.UTC).replace(tzinfo=None), time.monotonic()
-        run = Run(run_id=run_id, at=started, table_name=name)
+        clock = time.monotonic()
+        run = Run(run_id=run_id, at=_now(), table_name=name)
         rules = [rule_of(row) for row in group]
-        self._log(group, run_id, "running", started)
 
         def parent(rule: Rule) -> DataFrame:
             other = rule.options.get("parent_source")
@@ -205,10 +219,7 @@ class RuleExecutor:
             log.exception("table %s could not be checked", name)
             results = finish(error_rows(self.spark, [(r, _first_line(e)) for r in rules]), run).collect()
         took = int((time.monotonic() - clock) * 1000)
-        rows = [{**r.asDict(), "execution_duration_ms": took} for r in results]
-        by_id = {r["assignment_id"]: r for r in rows}
-        self._log(group, run_id, None, dt.datetime.now(dt.UTC).replace(tzinfo=None), by_id)
-        return rows
+        return [{**r.asDict(), "execution_duration_ms": took} for r in results]
 
     def _collect(self, df, rules, run, parent) -> list[Row]:
         try:
@@ -232,8 +243,10 @@ class RuleExecutor:
             return
         try:
             samples = sample_violations(df, sampled, key, sample_size, run=run)
-            samples.write.mode("append").partitionBy("run_date", "rule_id").parquet(
-                self.tables.path("violations")
+            # A folder per table and run: tables are sampled at the same time.
+            folder = f"violations/table_name={run.table_name}/run_id={run.run_id}"
+            samples.drop("run_id").write.mode("overwrite").partitionBy("run_date", "rule_id").parquet(
+                self.tables.path(folder)
             )
         except Exception as e:
             log.warning("no sample of violations of %s: %s", run.table_name, _first_line(e))

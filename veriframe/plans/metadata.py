@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veriframe.errors import MetadataError
 from veriframe.plans.rules import TABLE_SCHEMAS
 
 # How the larger tables are laid out on disk.
-PARTITIONS = {"validation_results": ["run_date"], "violations": ["run_date", "rule_id"]}
+PARTITIONS = {"validation_results": ["run_date"]}
 
 
 def _matches(**wanted) -> Column:
@@ -109,7 +110,7 @@ class MetadataTables:
 
     def append(self, name: str, df: DataFrame) -> None:
         """Add rows; missing columns become null, types are brought to those of the table."""
-        target = self.spark.createDataFrame([], self.schema(name)).schema
+        target = StructType.fromDDL(self.schema(name))
         columns = [
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target
@@ -121,7 +122,7 @@ class MetadataTables:
 
     def append_rows(self, name: str, rows: Sequence[dict]) -> None:
         """Add a handful of rows that are on the driver already."""
-        schema = self.spark.createDataFrame([], self.schema(name)).schema
+        schema = StructType.fromDDL(self.schema(name))
         values = [tuple(row.get(f.name) for f in schema) for row in rows]
         self.append(name, self.spark.createDataFrame(values, schema).coalesce(1))
 
