@@ -7,10 +7,11 @@ literals, regular expressions in quotes, and aliases of columns.
 
 from __future__ import annotations
 
+import logging
 import re
 
-from pyspark.errors import ParseException
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
@@ -127,7 +128,7 @@ def _expand_call(name: str, arguments: str, restore) -> str:
 
 
 def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
-    """Rewrite rule text to Spark SQL; `mapping` replaces column aliases by real column names."""
+    """Rewrite rule text to Spark SQL in parentheses; `mapping` replaces column aliases by real column names."""
     if not text or not text.strip():
         raise RuleError("empty rule")
     if "§" in text:
@@ -156,6 +157,8 @@ def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
         return (name or "") + space + hold(f"({inner})")
 
     text = _STRING.sub(lambda m: hold(_sql_string(m.group(0))), text.strip())
+    if re.search(r"--|/\*", text):
+        raise RuleError("comments are not allowed in rule text")
     text = re.sub(r"`[^`]+`", lambda m: column(m.group(0)[1:-1]), text)
     text = _COL.sub(lambda m: column(held[int(m.group(1))].lstrip("rR")[1:-1]), text)
     for alias in mapping:
@@ -166,19 +169,30 @@ def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
         if shorter == text:
             break
         text = shorter
-    return restore(text)
+    if re.search(r"[()]", text):
+        raise RuleError("unbalanced parentheses")
+    # In parentheses, so that a rule is one whole expression without an alias behind it.
+    return f"({restore(text)})"
 
 
-def checked_sql(text: str, mapping: dict[str, str] | None = None) -> str:
-    """Like `to_sql`; text Spark cannot parse raises `RuleError`."""
-    sql = to_sql(text, mapping)
+def parse_rule_expression(text: str, column_mapping: dict[str, str] | None = None) -> Column:
+    """The rule as a Column; text Spark cannot parse raises `RuleError`."""
+    predicate = F.expr(to_sql(text, column_mapping))
+    quiet = logging.getLogger("SQLQueryContextLogger")
+    level = quiet.level
+    quiet.setLevel(logging.CRITICAL)
     try:
-        F.expr(sql)
+        # Spark parses the text when it is used; columns need not exist yet.
+        SparkSession.active().range(0).select(predicate)
     except ParseException as e:
-        raise RuleError(f"cannot parse rule: {text}: {str(e).strip().splitlines()[0]}") from e
-    return sql
+        raise RuleError(f"cannot parse rule: {text}: {first_line(e)}") from e
+    except AnalysisException:
+        pass
+    finally:
+        quiet.setLevel(level)
+    return predicate
 
 
-def parse_rule_expression(text: str, column_mapping: dict[str, str] | None = None) -> Column:
-    """The rule as a Column; text Spark cannot parse raises `RuleError`."""
-    return F.expr(checked_sql(text, column_mapping))
+def first_line(e: Exception) -> str:
+    """The first line with text of an error message."""
+    return next((line.strip() for line in str(e).splitlines() if line.strip()), type(e).__name__)

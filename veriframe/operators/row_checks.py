@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
-from veriframe.functions.ruletext import checked_sql
+from veriframe.functions.ruletext import first_line, to_sql
 from veriframe.operators.results import Run, finish, spread_counts
 from veriframe.plans.rules import Rule
 
@@ -21,13 +21,13 @@ RULES_PER_SCAN = 400
 
 
 def violation(predicate: str, null_policy: str = "fail") -> str:
-    """SQL that is true where the rule is violated, and never null.
+    """SQL that is true where the condition in parentheses does not hold, and never null.
 
     With `fail` an unknown outcome (null) violates the rule, with `skip` it does not.
     """
     if null_policy == "skip":
-        return f"coalesce(NOT ({predicate}), false)"
-    return f"NOT coalesce(({predicate}), false)"
+        return f"coalesce(NOT {predicate}, false)"
+    return f"NOT coalesce({predicate}, false)"
 
 
 def _types(df: DataFrame, predicates: Sequence[str]) -> list[str]:
@@ -36,7 +36,7 @@ def _types(df: DataFrame, predicates: Sequence[str]) -> list[str]:
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:
-        named = df.selectExpr(*[f"({p}) AS p{i}" for i, p in enumerate(predicates)])
+        named = df.selectExpr(*[f"{p} AS p{i}" for i, p in enumerate(predicates)])
         return [f.dataType.simpleString() for f in named.schema]
     finally:
         quiet.setLevel(level)
@@ -47,7 +47,7 @@ def _why_not(df: DataFrame, rule: Rule, predicate: str) -> str | None:
     try:
         kind = _types(df, [predicate])[0]
     except AnalysisException as e:
-        return str(e).splitlines()[0]
+        return first_line(e)
     return None if kind == "boolean" else f"rule is {kind}, not boolean: {rule.rule_logic}"
 
 
@@ -61,7 +61,7 @@ def resolve(
             bad.append((rule, "a single-field rule needs exactly one column"))
             continue
         try:
-            parsed.append((rule, checked_sql(rule.rule_logic, rule.mapping)))
+            parsed.append((rule, to_sql(rule.rule_logic, rule.mapping)))
         except RuleError as e:
             bad.append((rule, str(e)))
     # One analysis for all; only when it fails each rule is looked at by itself.

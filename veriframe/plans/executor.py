@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from veriframe.errors import RuleError
+from veriframe.functions.ruletext import first_line
 from veriframe.operators.cross_table import check_cross_table, check_totals
 from veriframe.operators.freshness import check_freshness, rows_since
 from veriframe.operators.integrity import check_foreign_key, check_primary_key, check_unique
@@ -112,7 +113,7 @@ def check_table(
 def _first_line(e: Exception) -> str:
     if isinstance(e, KeyError):
         return f"missing in additional_config: {e.args[0]}"
-    return (str(e).strip() or type(e).__name__).splitlines()[0]
+    return first_line(e)
 
 
 class RuleExecutor:
