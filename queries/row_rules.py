@@ -249,28 +249,28 @@ def embedding_rules(spark, sf_dir):
 
 
 FLAGS = {
-    "is_null": (P.is_null(F.col("segment")), "segment IS NULL"),
-    "is_not_null": (P.is_not_null(F.col("segment")), "segment IS NOT NULL"),
-    "is_empty": (P.is_empty(F.col("segment")), "segment IS NULL OR trim(segment) = ''"),
-    "is_not_empty": (P.is_not_empty(F.col("segment")), "NOT (segment IS NULL OR trim(segment) = '')"),
-    "length_check": (P.length_check(F.col("segment"), 8, 9),
+    "is_null": (lambda: P.is_null(F.col("segment")), "segment IS NULL"),
+    "is_not_null": (lambda: P.is_not_null(F.col("segment")), "segment IS NOT NULL"),
+    "is_empty": (lambda: P.is_empty(F.col("segment")), "segment IS NULL OR trim(segment) = ''"),
+    "is_not_empty": (lambda: P.is_not_empty(F.col("segment")), "NOT (segment IS NULL OR trim(segment) = '')"),
+    "length_check": (lambda: P.length_check(F.col("segment"), 8, 9),
                      "coalesce(length(trim(segment)) BETWEEN 8 AND 9, false)"),
-    "length_open": (P.length_check(F.col("segment")), "segment IS NOT NULL"),
-    "regex_match": (P.regex_match(F.col("phone"), r"\d{3}-"), r"regexp_matches(phone, '\d{3}-')"),
-    "is_email": (P.is_email(F.col("email")), EMAIL),
-    "is_phone": (P.is_phone(F.col("phone")), PHONE),
-    "is_numeric": (P.is_numeric(F.col("amount")),
+    "length_open": (lambda: P.length_check(F.col("segment")), "segment IS NOT NULL"),
+    "regex_match": (lambda: P.regex_match(F.col("phone"), r"\d{3}-"), r"regexp_matches(phone, '\d{3}-')"),
+    "is_email": (lambda: P.is_email(F.col("email")), EMAIL),
+    "is_phone": (lambda: P.is_phone(F.col("phone")), PHONE),
+    "is_numeric": (lambda: P.is_numeric(F.col("amount")),
                    "TRY_CAST(amount AS DOUBLE) IS NOT NULL AND NOT isnan(TRY_CAST(amount AS DOUBLE))"),
-    "range_check": (P.range_check(F.col("c_acctbal"), 0, 5000.5, inclusive=False),
+    "range_check": (lambda: P.range_check(F.col("c_acctbal"), 0, 5000.5, inclusive=False),
                     "c_acctbal > 0 AND c_acctbal < 5000.5"),
-    "range_open": (P.range_check(F.col("c_acctbal")), "c_acctbal IS NOT NULL"),
-    "is_in_list": (P.is_in_list(F.col("c_nationkey"), [1, 2, 3]), "c_nationkey IN (1, 2, 3)"),
-    "is_not_in_list": (P.is_not_in_list(F.col("segment"), [" HOUSEHOLD "]),
+    "range_open": (lambda: P.range_check(F.col("c_acctbal")), "c_acctbal IS NOT NULL"),
+    "is_in_list": (lambda: P.is_in_list(F.col("c_nationkey"), [1, 2, 3]), "c_nationkey IN (1, 2, 3)"),
+    "is_not_in_list": (lambda: P.is_not_in_list(F.col("segment"), [" HOUSEHOLD "]),
                        "segment NOT IN (' HOUSEHOLD ')"),
-    "equals": (P.equals(F.col("c_custkey"), F.col("c_nationkey")), "c_custkey = c_nationkey"),
-    "not_equals": (P.not_equals(F.col("email"), F.col("phone")), "email <> phone"),
-    "greater_than": (P.greater_than(F.col("c_acctbal"), F.col("c_custkey")), "c_acctbal > c_custkey"),
-    "less_than": (P.less_than(F.col("email"), F.col("phone")), "email < phone"),
+    "equals": (lambda: P.equals(F.col("c_custkey"), F.col("c_nationkey")), "c_custkey = c_nationkey"),
+    "not_equals": (lambda: P.not_equals(F.col("email"), F.col("phone")), "email <> phone"),
+    "greater_than": (lambda: P.greater_than(F.col("c_acctbal"), F.col("c_custkey")), "c_acctbal > c_custkey"),
+    "less_than": (lambda: P.less_than(F.col("email"), F.col("phone")), "email < phone"),
 }
 
 
@@ -281,7 +281,7 @@ FLAGS = {
 )
 def rule_functions(spark, sf_dir):
     """Every boolean rule function as a column of each row, nulls kept."""
-    flags = [c.alias(n) for n, (c, _) in FLAGS.items()]
+    flags = [make().alias(n) for n, (make, _) in FLAGS.items()]
     return contacts(spark, sf_dir).select("c_custkey", *flags)
 
 

@@ -33,6 +33,8 @@ def read_rules_csv(spark: SparkSession, path: str) -> DataFrame:
         spark.read.schema(schema)
         .option("header", True)
         .option("columnNameOfCorruptRecord", MALFORMED)
+        # Pruned columns are not parsed, and a line would only look malformed when all are read.
+        .option("columnPruning", False)
         .option("escape", '"')
         .csv(path)
     )
