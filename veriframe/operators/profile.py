@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import types as T
 from veriframe.operators.topk import top_per_group
 
 QUANTILES = (0.25, 0.5, 0.75)
-QUANTILE_ACCURACY = 100_000
+QUANTILE_ACCURACY = 10_000
 MAX_LISTED_VALUES = 20
+COLUMNS_PER_SCAN = 10
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -27,50 +29,75 @@ def _name(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def _statistics(column: str, data_type: T.DataType, distinct: bool) -> Column:
+def _null(kind: str) -> Column:
+    return F.lit(None).cast(kind)
+
+
+def _moments(column: str, data_type: T.DataType) -> Column:
+    """Statistics that Spark aggregates in generated code."""
     c, kind = _name(column), _kind(data_type)
-    number = c.cast("double") if kind == "number" else F.lit(None).cast("double")
-    text = c.cast("string") if kind == "text" else F.lit(None).cast("string")
-    when = c.cast("timestamp") if kind == "time" else F.lit(None).cast("timestamp")
-    countable = distinct and kind != "other"
-    quantiles = (
-        F.percentile_approx(number, list(QUANTILES), QUANTILE_ACCURACY)
-        if kind == "number"
-        else F.lit(None).cast("array<double>")
-    )
+    number = c.cast("double") if kind == "number" else None
+    when = c.cast("timestamp") if kind == "time" else None
+    length = F.length(c.cast("string")) if kind == "text" else None
+
+    def each(value, default, **aggregates):
+        return [
+            (f(value) if value is not None else _null(default)).alias(name)
+            for name, f in aggregates.items()
+        ]
+
     return F.struct(
         F.lit(column).alias("column_name"),
         F.lit(data_type.simpleString()).alias("data_type"),
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(c.isNull()).alias("null_count"),
-        (F.approx_count_distinct(c) if countable else F.lit(None).cast("bigint")).alias("distinct_count"),
-        (F.min(number) if kind == "number" else number).alias("min_value"),
-        (F.max(number) if kind == "number" else number).alias("max_value"),
-        (F.avg(number) if kind == "number" else number).alias("mean_value"),
-        (F.stddev_samp(number) if kind == "number" else number).alias("stddev_value"),
-        quantiles.alias("quantiles"),
-        (F.min(text) if kind == "text" else text).alias("min_text"),
-        (F.max(text) if kind == "text" else text).alias("max_text"),
-        (F.max(F.length(text)) if kind == "text" else F.lit(None).cast("int")).alias("max_length"),
-        (F.min(when) if kind == "time" else when).alias("min_time"),
-        (F.max(when) if kind == "time" else when).alias("max_time"),
+        *each(number, "double", min_value=F.min, max_value=F.max, mean_value=F.avg,
+              stddev_value=F.stddev_samp),
+        *each(when, "timestamp", min_time=F.min, max_time=F.max),
+        *each(length, "int", max_length=F.max),
     )
 
 
+def _sketches(column: str, data_type: T.DataType, distinct: bool) -> Column:
+    """Statistics with a buffer of their own: distinct values, quartiles, first and last text."""
+    c, kind = _name(column), _kind(data_type)
+    countable = distinct and kind != "other"
+    quartiles = F.percentile_approx(c.cast("double"), list(QUANTILES), QUANTILE_ACCURACY)
+    text = c.cast("string")
+    return F.struct(
+        F.lit(column).alias("column_name"),
+        (F.approx_count_distinct(c) if countable else _null("bigint")).alias("distinct_count"),
+        (quartiles if kind == "number" else _null("array<double>")).alias("quantiles"),
+        (F.min(text) if kind == "text" else _null("string")).alias("min_text"),
+        (F.max(text) if kind == "text" else _null("string")).alias("max_text"),
+    )
+
+
+def _per_column(df: DataFrame, columns: Sequence[str], statistics) -> DataFrame:
+    """One row per column. A wide table is read in groups of columns, each column in one of them,
+    because an aggregate over very many values is not compiled."""
+    fields = {f.name: f.dataType for f in df.schema}
+    frames = []
+    for start in range(0, len(columns), COLUMNS_PER_SCAN):
+        group = columns[start : start + COLUMNS_PER_SCAN]
+        one = df.agg(*[statistics(c, fields[c]).alias(f"c{i}") for i, c in enumerate(group)])
+        frames.append(one.select(F.inline(F.array(*one.columns))))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def profile(
     df: DataFrame, columns: Sequence[str] | None = None, distinct: str = "approx"
 ) -> DataFrame:
     """One row per column: counts, nulls, distinct values, bounds, moments, quartiles, lengths.
 
-    One scan and one aggregate. With `distinct="exact"` the distinct counts come from a second
-    scan that groups (column, value) pairs, pre-aggregated before the shuffle.
+    Counts and moments take one compiled scan, sketches another: together they would run
+    uncompiled. With `distinct="exact"` distinct counts come from grouping (column, value) pairs,
+    pre-aggregated before the shuffle.
     """
     wanted = list(columns or df.columns)
-    fields = {f.name: f.dataType for f in df.schema}
-    stats = df.agg(
-        *[_statistics(c, fields[c], distinct == "approx").alias(f"c{i}") for i, c in enumerate(wanted)]
+    rows = _per_column(df, wanted, _moments).join(
+        _per_column(df, wanted, lambda c, t: _sketches(c, t, distinct == "approx")), "column_name"
     )
-    rows = stats.select(F.inline(F.array(*[f"c{i}" for i in range(len(wanted))])))
     if distinct != "exact":
         return rows
     exact = distinct_counts(value_counts(df, wanted))
