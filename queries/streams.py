@@ -109,7 +109,8 @@ def stream_foreign_key(spark, sf_dir):
     """Events whose user is not among the customers with some money."""
     folder = shared_folder(spark, "stream-orphans")
     parent = table(spark, sf_dir, "customer").where("c_acctbal > 1000")
-    marked = S.mark_orphans(event_stream(spark, sf_dir), parent, ["user_id"], ["c_custkey"])
-    wanted = marked.select("event_id", "user_id", "is_orphan")
-    S.catch_up(wanted, f"{folder}/rows", f"{folder}/checkpoint")
-    return spark.read.schema(wanted.schema).parquet(f"{folder}/rows")
+    keys = S.store_keys(parent, ["c_custkey"], f"{folder}/keys")
+    wanted = event_stream(spark, sf_dir).select("event_id", "user_id")
+    S.mark_orphans_per_batch(
+        wanted, keys, ["user_id"], ["c_custkey"], f"{folder}/rows", f"{folder}/checkpoint")
+    return S.read_batches(spark, f"{folder}/rows").drop("batch_id")

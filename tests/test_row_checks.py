@@ -151,3 +151,18 @@ def test_samples_of_rules_without_failures(users):
     rules = [Rule("r", "age > 1", ("age",))]
     results = attach_samples(check_rows(users, rules), sample_violations(users, rules, ["name"]))
     assert results.first().sample_failed_records == []
+
+
+def test_counts_of_many_tasks_are_merged_in_two_rounds(spark, users):
+    rules = [Rule("e", "is_email(column)", ("email",)), Rule("a", "age < 35", ("age",))]
+    want = {r.rule_id: r.records_failed for r in check_rows(users, rules).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        results = check_rows(users.repartition(4), rules)
+        got = {r.rule_id: r.records_failed for r in results.collect()}
+        empty = check_rows(users.where("false"), rules).first()
+        plan = results._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want and "hashpartitioning(_group" in plan
+    assert (empty.records_checked, empty.records_failed) == (0, 0)

@@ -212,3 +212,12 @@ def test_unknown_table(tables):
     with pytest.raises(MetadataError):
         tables.read("nothing")
     assert tables.read("quality_scores").count() == 0
+
+
+def test_saved_results_are_completed(spark, tables):
+    df = spark.createDataFrame([("r", 4, 1, "fail"), ("s", 0, 0, "pass"), ("t", 0, 0, "error")],
+                               "rule_id string, records_checked bigint, records_failed bigint, status string")
+    tables.save_results(df)
+    rows = {r.rule_id: r for r in tables.read("validation_results").collect()}
+    assert (rows["r"].failure_rate, rows["s"].failure_rate, rows["t"].failure_rate) == (25.0, 0.0, None)
+    assert all(r.validation_timestamp and r.run_date for r in rows.values())

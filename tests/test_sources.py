@@ -105,7 +105,8 @@ def test_declared_schema(spark, users, tmp_path):
 
 
 def test_missing_folder_is_not_reachable(spark, tmp_path):
-    assert not create_source("s3", {"root": str(tmp_path / "nothing")}, spark).test_connection()
+    source = create_source("s3", {"root": str(tmp_path / "nothing")}, spark)
+    assert not source.test_connection() and "no such folder" in source.probe()["error"]
 
 
 def test_catalog(spark, users):

@@ -95,8 +95,14 @@ def test_keys_on_a_stream(spark, stream, tmp_path):
 
 def test_orphans_on_a_stream(spark, stream, tmp_path):
     parent = spark.createDataFrame([(0,), (1,), (1,), (None,)], "id bigint")
-    marked = S.mark_orphans(stream, parent, ["k"], ["id"])
+    marked = S.mark_orphans(stream, parent, ["k"], ["id"], frequent=[])
     S.catch_up(marked, str(tmp_path / "o"), str(tmp_path / "cp"))
     rows = spark.read.parquet(str(tmp_path / "o"))
     assert rows.count() == 80
-    assert rows.where("is_orphan").count() == sum(k not in (0, 1, None) for k, _, _ in rows_of(80))
+    orphans = sum(k not in (0, 1, None) for k, _, _ in rows_of(80))
+    assert rows.where("is_orphan").count() == orphans
+    keys = S.store_keys(parent, ["id"], str(tmp_path / "keys"))
+    assert keys.count() == 2
+    S.mark_orphans_per_batch(stream, keys, ["k"], ["id"], str(tmp_path / "b"), str(tmp_path / "cp3"))
+    batches = S.read_batches(spark, str(tmp_path / "b"))
+    assert batches.count() == 80 and batches.where("is_orphan").count() == orphans

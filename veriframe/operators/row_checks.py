@@ -19,6 +19,10 @@ from veriframe.plans.rules import Rule
 # that the generated code grows too large, so more rules mean one more scan per this many.
 RULES_PER_SCAN = 400
 
+# From this many shuffle partitions on, counts of single tasks are merged in this many groups first.
+MANY_TASKS = 1000
+MERGE_GROUPS = 256
+
 
 def violation(predicate: str, null_policy: str = "fail") -> str:
     """SQL that is true where the condition in parentheses does not hold, and never null.
@@ -88,7 +92,20 @@ def count_violations(
         F.expr(f"count_if({violation(predicate, rule.null_policy)}) AS failed_{i}")
         for i, (rule, predicate) in enumerate(resolved)
     ]
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("checked"), *failed)
+    counts = [F.count(F.lit(1)).alias("checked"), *failed]
+    if by or not _many_tasks(df):
+        return df.groupBy(*by).agg(*counts)
+    # Hundreds of thousands of tasks bring one row each: merge them in groups before the last merge.
+    merged = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_group")).agg(*counts)
+    names = ["checked", *(f"failed_{i}" for i in range(len(resolved)))]
+    return merged.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+def _many_tasks(df: DataFrame) -> bool:
+    """Whether the session is set up for a cluster on which a scan has very many tasks."""
+    if df.isStreaming:
+        return False
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= MANY_TASKS
 
 
 def check_rows(

@@ -120,6 +120,21 @@ class MetadataTables:
             writer = writer.partitionBy(*PARTITIONS[name])
         writer.parquet(self.path(name))
 
+    def save_results(self, results: DataFrame) -> None:
+        """Append results; a missing rate is computed, a missing time is now."""
+        checked, failed = F.col("records_checked"), F.col("records_failed")
+        rate = F.when(F.col("status") == "error", None).when(
+            checked > 0, F.round(100.0 * failed / checked, 4)
+        ).otherwise(0.0)
+        defaults = {"failure_rate": rate, "validation_timestamp": F.current_timestamp()}
+        for name, default in defaults.items():
+            given = F.col(name) if name in results.columns else F.lit(None)
+            results = results.withColumn(name, F.coalesce(given, default))
+        self.append(
+            "validation_results",
+            results.withColumn("run_date", F.to_date("validation_timestamp")),
+        )
+
     def append_rows(self, name: str, rows: Sequence[dict]) -> None:
         """Add a handful of rows that are on the driver already."""
         schema = StructType.fromDDL(self.schema(name))

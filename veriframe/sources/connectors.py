@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from abc import ABC, abstractmethod
 from collections.abc import Mapping, Sequence
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.errors import SourceError
+from veriframe.functions.ruletext import first_line
 from veriframe.operators.frames import view
 from veriframe.sources.jdbc import jdbc_options
 
+log = logging.getLogger(__name__)
+
 # File formats and write modes that are accepted.
 FILE_FORMATS = ("parquet", "csv", "json")
 WRITE_MODES = ("overwrite", "append", "error", "ignore")
@@ -66,13 +70,16 @@ class Source(ABC):
         """Column names and their Spark types; no rows are read."""
         return {f.name: f.dataType.simpleString() for f in self._table(table, schema).schema}
 
-    def test_connection(self) -> bool:
-        """Whether the source can be reached."""
+    def probe(self) -> dict:
+        """Whether the source can be reached, and why not: {ok, error}."""
         try:
             self._probe()
-        except Exception:
-            return False
-        return True
+        except Exception as e:
+            return {"ok": False, "error": first_line(e)}
+        return {"ok": True, "error": None}
+
+    def test_connection(self) -> bool:
+        return self.probe()["ok"]
 
     def _probe(self) -> None:
         self.spark.sql("SELECT 1").first()
@@ -212,6 +219,8 @@ class JdbcSource(Source):
         return options
 
     def _save(self, df, destination, mode, partition_by):
+        if partition_by and self.kind != "redshift":
+            log.warning("%s tables are not written in partitions; ignoring %s", self.kind, partition_by)
         options = self.write_options(destination, partition_by)
         df.write.format("jdbc").mode(mode).options(**options).save()
 

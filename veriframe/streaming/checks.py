@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -14,6 +15,7 @@ from veriframe.errors import RuleError
 from veriframe.operators.results import Run, finish, spread_counts
 from veriframe.operators.row_checks import check_rows, count_violations, resolve
 from veriframe.operators.samples import split_rows
+from veriframe.operators.skew import spread_join
 from veriframe.plans.rules import Rule
 
 
@@ -146,18 +148,44 @@ def first_rows(stream: DataFrame, keys: Sequence[str], time_column: str, late_by
 
 
 def mark_orphans(
-    stream: DataFrame, parent: DataFrame, keys: Sequence[str], parent_keys: Sequence[str]
+    df: DataFrame,
+    parent: DataFrame,
+    keys: Sequence[str],
+    parent_keys: Sequence[str],
+    frequent: Sequence[Row] | None = None,
 ) -> DataFrame:
-    """Each row with `is_orphan`: its key is complete and not among the keys of a static table."""
+    """Each row with `is_orphan`: its key is complete and not among the keys of a static table.
+
+    On a stream `frequent` must be given (maybe empty); for a batch it is found by sampling.
+    """
     known = parent.select(*[F.col(p).alias(k) for p, k in zip(parent_keys, keys, strict=True)])
     known = known.dropna().distinct().withColumn("_known", F.lit(True))
-    complete = F.lit(True)
-    for k in keys:
-        complete = complete & F.col(k).isNotNull()
-    joined = stream.join(known, list(keys), "left")
+    complete = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    joined = spread_join(df, known, keys, "left", frequent)
     return joined.withColumn("is_orphan", F.col("_known").isNull() & complete).drop("_known")
 
 
+def store_keys(parent: DataFrame, parent_keys: Sequence[str], path: str) -> DataFrame:
+    """The distinct complete keys of a table written once, so that batches do not read all of it."""
+    parent.select(*parent_keys).dropna().distinct().write.mode("overwrite").parquet(path)
+    return parent.sparkSession.read.parquet(path)
+
+
+def mark_orphans_per_batch(
+    stream: DataFrame,
+    parent: DataFrame,
+    keys: Sequence[str],
+    parent_keys: Sequence[str],
+    path: str,
+    checkpoint: str,
+) -> StreamingQuery:
+    """Mark orphans batch by batch, spreading keys that are frequent in the batch."""
+    def marked(batch: DataFrame, _: int) -> DataFrame:
+        return mark_orphans(batch, parent, keys, parent_keys)
+
+    return each_batch(stream, marked, path, checkpoint)
+
+
 def late_row_count(query: StreamingQuery) -> int:
     """Rows the query dropped because they were older than the watermark."""
     return sum(
