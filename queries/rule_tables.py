@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from queries.base import query, report, result_sql, run_of, table
 from veriframe.plans.analytics import rule_impact
 from veriframe.plans.constraints import check_constraints
-from veriframe.plans.imports import import_rules, validate_import
-from veriframe.plans.metadata import list_assignments, list_rules, list_sources
+from veriframe.plans.imports import (
+    BatchRuleImporter, import_rules, read_rules_csv, validate_import,
+)
+from veriframe.plans.metadata import MetadataTables, list_assignments, list_rules, list_sources
+from veriframe.session import shared_folder
 
 LINES_SQL = """lines AS (SELECT p_partkey AS row,
  CASE WHEN p_size = 1 THEN NULL ELSE p_name || ' ' || CAST(p_partkey AS VARCHAR) END AS rule_name,
@@ -83,6 +88,30 @@ def rules_import(spark, sf_dir):
     return outcome(spark, sf_dir).summary
 
 
+@query("rules_file_import", f"WITH {LINES_SQL} SELECT count(*) AS total_rows, "
+       "count(*) FILTER (WHERE rule_error = '') AS rules_created, "
+       "count(*) FILTER (WHERE rule_error = '' AND target_error = '') AS assignments_created, "
+       "count(*) FILTER (WHERE rule_error <> '' OR target_error <> '') AS errors FROM checked")
+def rules_file_import(spark, sf_dir):
+    """Totals of an import from CSV files into the rule tables."""
+    root = shared_folder(spark, "import")
+    import_lines(spark, sf_dir).drop("row").write.option("header", True).csv(f"{root}/lines")
+    tables = MetadataTables(spark, f"{root}/tables")
+    tables.append("data_sources", sources(spark, sf_dir))
+    importer = BatchRuleImporter(tables)
+    importer.import_from_csv(f"{root}/lines")
+    made = import_rules(read_rules_csv(spark, f"{root}/lines"), tables.read("data_sources"))
+    stored = [tables.read("validation_rules"), tables.read("rule_assignments"), made.errors]
+    names = ["rules_created", "assignments_created", "errors"]
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        for name, df in zip([*names, "total_rows"], [*stored, made.checked], strict=True)
+    ]
+    together = reduce(lambda a, b: a.unionByName(b), counts)
+    return together.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n)
+                          for n in ["total_rows", *names]])
+
+
 @query("rules_import_errors", f"WITH {LINES_SQL} SELECT row, CASE WHEN rule_error <> '' THEN rule_error "
        "ELSE target_error END AS error FROM checked WHERE rule_error <> '' OR target_error <> ''")
 def rules_import_errors(spark, sf_dir):

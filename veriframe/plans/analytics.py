@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.operators.skew import frequent_keys, spread_join
 from veriframe.plans.rules import RULE_CATEGORIES
 
 # Scored categories, alert limit in percent, days results are kept.
@@ -47,17 +48,19 @@ def validation_summary(
 ) -> DataFrame:
     """Every result with the names of its rule, table and source, newest first.
 
-    Spark broadcasts the rule tables when they are small enough and shuffles them otherwise.
+    Spark broadcasts rule tables that are small enough. Larger ones are joined with the results of
+    a rule that holds many of them spread over tasks.
     """
     wanted = results.select(
         "rule_id", "assignment_id", "validation_timestamp", "records_checked", "records_failed",
         "status", "execution_duration_ms",
     )
-    named = (
-        wanted.join(rules.select("rule_id", "rule_name", "rule_category", "severity_level"), "rule_id")
-        .join(assignments.select("assignment_id", "source_id", "schema_name", "table_name"), "assignment_id")
-        .join(sources.select("source_id", "source_name"), "source_id")
+    rule = rules.select("rule_id", "rule_name", "rule_category", "severity_level")
+    target = assignments.select("assignment_id", "source_id", "schema_name", "table_name").join(
+        sources.select("source_id", "source_name"), "source_id"
     )
+    named = spread_join(spread_join(wanted, rule, ["rule_id"]), target, ["assignment_id"],
+                        frequent=frequent_keys(wanted, ["assignment_id"]))
     return named.select(
         "rule_id", "rule_name", "rule_category", "severity_level", "source_name", "schema_name",
         "table_name", "validation_timestamp", "records_checked", "records_failed", "status",
@@ -171,19 +174,49 @@ def run_alerts(results: DataFrame, max_failed_share: float = ALERT_RATE) -> Data
 
 
 def rate_anomalies(results: DataFrame, runs: int = 7, z_limit: float = 3.0) -> DataFrame:
-    """Failure rate of each result against the previous runs of the same rule on the same table."""
-    series = Window.partitionBy("rule_id", "table_name").orderBy("validation_timestamp", "run_id")
-    before = series.rowsBetween(-runs, -1)
-    mean, spread = F.avg("failure_rate").over(before), F.stddev_samp("failure_rate").over(before)
+    """Failure rate of each result against the previous runs of the same rule on the same table.
+
+    Results are numbered day by day, so no task has to sort a whole series. Then each result sends
+    its rate to the `runs` results after it, which sum up what they receive.
+    """
+    series = ["rule_id", "table_name"]
+    rated = results.where(F.col("failure_rate").isNotNull())
+    earlier = Window.partitionBy(*series).orderBy("run_date").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    offsets = (
+        rated.groupBy(*series, "run_date")
+        .agg(F.count(F.lit(1)).alias("results_of_day"))
+        .withColumn("offset", F.coalesce(F.sum("results_of_day").over(earlier), F.lit(0)))
+        .drop("results_of_day")
+    )
+    of_day = Window.partitionBy(*series, "run_date").orderBy("validation_timestamp", "run_id")
+    numbered = (
+        rated.withColumn("number", F.row_number().over(of_day))
+        .join(offsets, [*series, "run_date"])
+        .withColumn("number", F.col("number") + F.col("offset"))
+        .drop("offset")
+    )
+    received = (
+        numbered.select(
+            *series, "failure_rate", F.col("number").alias("sender"),
+            F.explode(F.sequence(F.col("number") + 1, F.col("number") + runs)).alias("number"),
+        )
+        .groupBy(*series, "number")
+        .agg(
+            F.max_by("failure_rate", "sender").alias("previous_rate"),
+            F.avg("failure_rate").alias("mean_rate"),
+            F.stddev_samp("failure_rate").alias("stddev_rate"),
+        )
+    )
+    distance = F.when(
+        F.col("stddev_rate") > 0, (F.col("failure_rate") - F.col("mean_rate")) / F.col("stddev_rate")
+    )
     return (
-        results.where(F.col("failure_rate").isNotNull())
-        .withColumn("previous_rate", F.lag("failure_rate").over(series))
-        .withColumn("mean_rate", mean)
-        .withColumn("stddev_rate", spread)
-        .withColumn("z_score", F.when(
-            F.col("stddev_rate") > 0,
-            (F.col("failure_rate") - F.col("mean_rate")) / F.col("stddev_rate")))
+        numbered.join(received, [*series, "number"], "left")
+        .withColumn("z_score", distance)
         .withColumn("is_anomaly", F.coalesce(F.abs("z_score") > z_limit, F.lit(False)))
+        .drop("number")
     )
 
 
