@@ -64,11 +64,16 @@ def profile_approx(spark, sf_dir):
     return P.profile(table(spark, sf_dir, "lineitem"))
 
 
-@query("profile_quartiles")
+@query("profile_quartiles", """
+SELECT 'l_extendedprice' AS column_name, quantile_disc(l_extendedprice, 0.25) AS q1,
+ quantile_disc(l_extendedprice, 0.5) AS q2, quantile_disc(l_extendedprice, 0.75) AS q3 FROM lineitem
+UNION ALL SELECT 'l_quantity', quantile_disc(l_quantity, 0.25), quantile_disc(l_quantity, 0.5),
+ quantile_disc(l_quantity, 0.75) FROM lineitem""")
 def profile_quartiles(spark, sf_dir):
-    """Approximate quartiles of two columns."""
-    rows = P.profile(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"])
-    return rows.select("column_name", *[F.col("quantiles")[i].alias(f"q{i + 1}") for i in range(3)])
+    """Exact quartiles of two columns."""
+    found = P.quantiles(table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"], [0.25, 0.5, 0.75])
+    rows = [(c, *values) for c, values in found.items()]
+    return spark.createDataFrame(rows, "column_name string, q1 double, q2 double, q3 double")
 
 
 TOP = ["l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"]
@@ -131,9 +136,10 @@ def suggest_rules(spark, sf_dir):
     return P.suggest_rules(table(spark, sf_dir, "orders"))
 
 
-@query("outliers_iqr")
+@query("outliers_iqr", """WITH b AS (SELECT quantile_disc(value, 0.25) AS a, quantile_disc(value, 0.75) AS z FROM events)
+SELECT event_id, value FROM events, b WHERE value < a - 1.5 * (z - a) OR value > z + 1.5 * (z - a)""")
 def outliers_iqr(spark, sf_dir):
-    """Values far outside the (approximate) quartiles; tested against brute force."""
+    """Values far outside the quartiles."""
     return P.outliers(table(spark, sf_dir, "events"), ["value"]).select("event_id", "value")
 
 

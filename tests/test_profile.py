@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -67,6 +68,22 @@ def test_outliers(spark):
     assert P.outliers(df.where("x IS NULL"), ["x"]).count() == 0
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    """Small brackets force several passes; a third of all rows share one value."""
+    monkeypatch.setattr(P, "BRACKET_ROWS", 50)
+    rng = random.Random(3)
+    data = [(7.0 if rng.random() < 1 / 3 else round(rng.uniform(-100, 100), 3), rng.choice([1, 2, None]), None)
+            for _ in range(30000)]
+    df = spark.createDataFrame(data, "x double, k int, none double").repartition(8)
+    probabilities = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    found = P.quantiles(df, ["x", "k", "none"], probabilities)
+    for i, name in enumerate(["x", "k"]):
+        values = sorted(row[i] for row in data if row[i] is not None)
+        ranks = [max(1, math.ceil(len(values) * p)) for p in probabilities]
+        assert found[name] == [values[r - 1] for r in ranks], name
+    assert found["none"] == [None] * 7
+
+
 def test_outliers_iqr_query(spark, small):
     from queries import load_all
 
