@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veriframe.operators.results import Run
 from veriframe.plans.rules import Rule
@@ -114,6 +113,3 @@ def integrity_sql(
         table_name,
     )
 
-
-def col(name: str):
-    return F.col(name)

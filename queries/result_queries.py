@@ -7,12 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from queries.base import counts_sql, query, result_sql, rules_from, run_of, table
-from veriframe.operators.results import Run
 from veriframe.operators.row_checks import check_rows
 from veriframe.plans import analytics as A
 from veriframe.plans.metadata import (
-    current_versions, execution_states, list_assignments, list_rules, list_sources,
-    mark_current_versions, resolve_assignments,
+    current_versions, execution_states, mark_current_versions, resolve_assignments,
 )
 
 HISTORY_RULES = [

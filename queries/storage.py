@@ -12,10 +12,10 @@ from queries.base import (
 )
 from queries.result_queries import HISTORY_RULES, WITH_HISTORY, history
 from queries.row_rules import LINEITEM_RULES
-from queries.table_rules import CROSS, LINE_KEY, SAMPLED, foreign_key_sql, unique_sql
+from queries.table_rules import CROSS, SAMPLED, foreign_key_sql, unique_sql
 from veriframe.operators.freshness import last_value, rows_of_partitions, rows_since
 from veriframe.operators.row_checks import check_rows
-from veriframe.operators.samples import sample_violations, split_rows
+from veriframe.operators.samples import split_rows
 from veriframe.plans.analytics import find_results
 from veriframe.plans.executor import RuleExecutor
 from veriframe.plans.metadata import MetadataTables

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from queries.base import (
-    integrity_sql, query, report, result_sql, rules_from, run_of, counts_sql, scorecard_sql, table,
+    integrity_sql, query, report, result_sql, rules_from, run_of, counts_sql, table,
 )
 from queries.row_rules import LINEITEM_RULES
 from veriframe.operators.cross_table import check_cross_table, check_row_counts, check_totals

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
+from veriframe.operators.integrity import check_unique, duplicate_rows
 from veriframe.operators.results import Run
 from veriframe.operators.row_checks import check_rows, with_predicates
 from veriframe.operators.samples import (
@@ -147,6 +148,17 @@ def test_sample_is_bounded_ordered_and_masked(spark):
     assert [r["rank"] for r in by_rule["all"]] == list(range(1, 8))
 
 
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", None)], "`first.name` string, `a ``b` int")
+    rules = [Rule("r", "is_not_null(column)", ("a `b",)), Rule("s", "col('first.name') = 'a'", ("first.name",))]
+    assert {r.rule_id: r.records_failed for r in check_rows(df, rules).collect()} == {"r": 1, "s": 2}
+    rows = sample_violations(df, rules, ["first.name", "a `b"], sensitive={"first.name": "redact"}).collect()
+    assert {r.record for r in rows} == {'{"a `b":null}', '{"first.name":"***"}'} and len(rows) == 3
+    key = Rule("k", columns=("first.name",), rule_type="multi_field")
+    assert check_unique(df, key).first().records_failed == 2
+    assert duplicate_rows(df, ["first.name"]).count() == 2
+
+
 def test_samples_of_rules_without_failures(users):
     rules = [Rule("r", "age > 1", ("age",))]
     results = attach_samples(check_rows(users, rules), sample_violations(users, rules, ["name"]))

@@ -195,6 +195,24 @@ def test_executor(spark, tables, users, tmp_path):
     assert failing == {"source_name_length", "rule_logic_present"} - {"source_name_length"}
 
 
+def test_stream_of_assigned_rules(spark, tables, users, tmp_path):
+    folder = str(tmp_path / "data" / "users")
+    users.coalesce(1).write.parquet(folder)
+    assigned(tables, ("email", ["email"], "is_email(column)", None, "users", True, True),
+             ("age", ["age"], "range_check(column, 18, 30)", None, "users", True, True),
+             ("off", ["age"], "age > 1", None, "users", True, False))
+    executor = RuleExecutor(tables)
+    ids = ["as-email", "as-age", "as-off"]
+    assert executor.execute_stream(ids).count() == 2
+    users.coalesce(1).write.mode("append").parquet(folder)
+    for _ in range(2):
+        rows = executor.execute_stream(ids, files_per_batch=1).collect()
+        assert sorted((r.batch_id, r.rule_id, r.records_checked, r.records_failed) for r in rows) == [
+            (0, "age", 4, 1), (0, "email", 4, 2), (1, "age", 4, 1), (1, "email", 4, 2)]
+    with pytest.raises(RuleError):
+        executor.execute_stream(["as-off"])
+
+
 def test_incremental_batch(spark, tables, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1 + i)) for i in range(10)]
     spark.createDataFrame(rows, "n int, at timestamp").write.parquet(str(tmp_path / "data" / "log"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
+from veriframe.functions.names import quoted
 from veriframe.functions.predicates import EMAIL_PATTERN, PHONE_MIN_DIGITS, PHONE_PATTERN
 
 _STRING = re.compile(r"""(?:\b[rR])?(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")""", re.S)
@@ -148,7 +149,7 @@ def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
         return piece
 
     def column(name: str) -> str:
-        return hold("`" + mapping.get(name, name).replace("`", "``") + "`")
+        return hold(quoted(mapping.get(name, name)))
 
     def bracket(match: re.Match) -> str:
         name, space, inner = match.group(1), match.group(2), match.group(3)

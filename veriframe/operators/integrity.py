@@ -13,18 +13,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from veriframe.functions.names import named
 from veriframe.operators.results import Run, finish, spread_counts
-from veriframe.operators.skew import frequent_keys, is_frequent, spread_join
+from veriframe.operators.skew import spread_join
 from veriframe.plans.rules import Rule
 
 
 def _complete(keys: Sequence[str]) -> Column:
-    return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    return reduce(Column.__and__, [named(k).isNotNull() for k in keys])
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every key with the number of rows that hold it."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    return df.groupBy(*map(named, keys)).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _total(condition: Column) -> Column:
@@ -53,7 +54,7 @@ def check_primary_key(df: DataFrame, rule: Rule, run: Run = Run()) -> DataFrame:
 
 def _parent_keys(parent: DataFrame, parent_keys: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Distinct complete parent keys under the child's column names."""
-    renamed = parent.select(*[F.col(p).alias(k) for p, k in zip(parent_keys, keys, strict=True)])
+    renamed = parent.select(*[named(p).alias(k) for p, k in zip(parent_keys, keys, strict=True)])
     return renamed.where(_complete(keys)).distinct()
 
 
@@ -104,8 +105,3 @@ def _rows_with_keys(
 ) -> DataFrame:
     return spread_join(df.where(_complete(keys)), wanted, keys, "left_semi", frequent)
 
-
-__all__ = [
-    "check_foreign_key", "check_primary_key", "check_unique", "duplicate_rows",
-    "frequent_keys", "is_frequent", "key_counts", "orphan_rows",
-]

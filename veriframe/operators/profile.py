@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veriframe.functions.names import named
 from veriframe.operators.topk import top_per_group
 
 QUANTILES = (0.25, 0.5, 0.75)
@@ -29,17 +30,13 @@ def _kind(data_type: T.DataType) -> str:
     return "text" if isinstance(data_type, (T.StringType, T.BooleanType)) else "other"
 
 
-def _name(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
 def _moments(column: str, data_type: T.DataType) -> Column:
     """Statistics that Spark aggregates in generated code."""
-    c, kind = _name(column), _kind(data_type)
+    c, kind = named(column), _kind(data_type)
     number = c.cast("double") if kind == "number" else None
     when = c.cast("timestamp") if kind == "time" else None
     length = F.length(c.cast("string")) if kind == "text" else None
@@ -64,7 +61,7 @@ def _moments(column: str, data_type: T.DataType) -> Column:
 
 def _sketches(column: str, data_type: T.DataType, distinct: bool) -> Column:
     """Statistics with a buffer of their own: distinct values, quartiles, first and last text."""
-    c, kind = _name(column), _kind(data_type)
+    c, kind = named(column), _kind(data_type)
     countable = distinct and kind != "other"
     quartiles = F.percentile_approx(c.cast("double"), list(QUANTILES), QUANTILE_ACCURACY)
     text = c.cast("string")
@@ -113,7 +110,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     fields = {f.name: f.dataType for f in df.schema}
     countable = [c for c in columns if _kind(fields[c]) != "other"]
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), _name(c).cast("string").alias("value"))
+        F.struct(F.lit(c).alias("column_name"), named(c).cast("string").alias("value"))
         for c in countable
     ])
     return (
@@ -149,7 +146,7 @@ def shape(c: Column) -> Column:
 
 def patterns(df: DataFrame, columns: Sequence[str], n: int = 10) -> DataFrame:
     """The n most frequent shapes of each text column, with the share of rows that have them."""
-    shapes = df.select(*[shape(_name(c)).alias(c) for c in columns])
+    shapes = df.select(*[shape(named(c)).alias(c) for c in columns])
     return top_values(shapes, columns, n).withColumnRenamed("value", "pattern")
 
 
@@ -256,7 +253,7 @@ def quantiles(
 
 def _number(column: str) -> Column:
     """The column as a number; NaN is not one."""
-    number = _name(column).cast("double")
+    number = named(column).cast("double")
     return F.when(~F.isnan(number), number)
 
 
@@ -328,7 +325,7 @@ def outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr", k: floa
     """Rows with an unusual value, with the names of the columns that hold one."""
     bounds = outlier_bounds(df, columns, method, k)
     unusual = F.array_compact(F.array(*[
-        F.when(~_name(c).between(F.lit(low), F.lit(high)), F.lit(c)) for c, (low, high) in bounds.items()
+        F.when(~named(c).between(F.lit(low), F.lit(high)), F.lit(c)) for c, (low, high) in bounds.items()
     ])).cast("array<string>")
     return df.withColumn("unusual", unusual).where(F.size("unusual") > 0)
 

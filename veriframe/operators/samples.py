@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.errors import RuleError
+from veriframe.functions.names import named
 from veriframe.operators.results import Run, sql_literal
 from veriframe.operators.row_checks import resolve, violation
 from veriframe.operators.topk import top_per_group
@@ -58,7 +59,7 @@ def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def masked(column: str, method: str) -> Column:
     """A sensitive value made unreadable: `hash`, `mask` (shape kept) or `redact`."""
-    c = F.col(column).cast("string")
+    c = named(column).cast("string")
     if method == "hash":
         return F.sha2(c, 256)
     if method == "mask":
@@ -87,21 +88,21 @@ def sample_violations(
     assigned to, is only rendered for rows that stay in the sample.
     """
     wanted = [c for c in dict.fromkeys([*key, *(c for r in rules for c in r.columns)])]
-    exploded = violating_rows(df, rules).select("rule_id", *[c for c in wanted if c in df.columns])
-    ranked = top_per_group(exploded, ["rule_id"], [F.col(k) for k in key], sample_size)
+    exploded = violating_rows(df, rules).select("rule_id", *[named(c) for c in wanted if c in df.columns])
+    ranked = top_per_group(exploded, ["rule_id"], [named(k) for k in key], sample_size)
     shown = mask_columns(ranked, {c: m for c, m in (sensitive or {}).items() if c in wanted})
     record = F.lit(None).cast("string")
     for rule in rules:
         columns = [c for c in rule.columns if c in df.columns] or list(key)
         record = F.when(
             F.col("rule_id") == rule.rule_id,
-            F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}),
+            F.to_json(F.struct(*map(named, columns)), {"ignoreNullFields": "false"}),
         ).otherwise(record)
     return shown.select(
         F.lit(run.run_id).alias("run_id"),
         "rule_id",
         "rank",
-        F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("record_key"),
+        F.to_json(F.struct(*map(named, key)), {"ignoreNullFields": "false"}).alias("record_key"),
         record.alias("record"),
         run.timestamp.cast("date").alias("run_date"),
     )

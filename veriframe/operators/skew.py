@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from veriframe.functions.names import named
+
 # A key is only worth splitting when it alone would keep one task busy much longer than the rest.
 # At most this many keys are split, so the list of them has a fixed size bound.
 MAX_FREQUENT_KEYS = 256
@@ -23,10 +25,13 @@ def frequent_keys(
     The sample only decides how rows are spread over tasks. Which keys it finds never changes a
     result, so a key it misses costs time, not rows.
     """
-    counts = df.select(*keys).dropna().sample(fraction=fraction, seed=7).groupBy(*keys).count()
+    columns = [named(k) for k in keys]
+    complete = reduce(Column.__and__, [c.isNotNull() for c in columns])
+    sampled = df.select(*columns).where(complete).sample(fraction=fraction, seed=7)
+    counts = sampled.groupBy(*columns).count()
     return (
         counts.where(F.col("count") >= MIN_SAMPLED_COPIES)
-        .orderBy(F.desc("count"), *keys)
+        .orderBy(F.desc("count"), *columns)
         .limit(min(top, MAX_FREQUENT_KEYS))
         .drop("count")
         .collect()
@@ -38,9 +43,9 @@ def is_frequent(keys: Sequence[str], frequent: Sequence[Row]) -> Column:
     if not frequent:
         return F.lit(False)
     if len(keys) == 1:
-        return F.coalesce(F.col(keys[0]).isin([row[0] for row in frequent]), F.lit(False))
+        return F.coalesce(named(keys[0]).isin([row[0] for row in frequent]), F.lit(False))
     matches = [
-        reduce(Column.__and__, [F.col(k) == F.lit(v) for k, v in zip(keys, row, strict=True)])
+        reduce(Column.__and__, [named(k) == F.lit(v) for k, v in zip(keys, row, strict=True)])
         for row in frequent
     ]
     return F.coalesce(reduce(Column.__or__, matches), F.lit(False))

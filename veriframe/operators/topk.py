@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriframe.functions.names import named
+
 
 def top_per_group(
     df: DataFrame,
@@ -21,7 +23,7 @@ def top_per_group(
     Ranking takes two rounds: first within `spread` parts of each group, then among the survivors
     (at most `spread * n` per group). Spark prunes to n rows before each shuffle.
     """
-    part = F.pmod(F.xxhash64(*order_columns(order, df)), F.lit(spread))
+    part = F.pmod(F.xxhash64(*_hashable(df)), F.lit(spread))
     first = Window.partitionBy(*group, "_part").orderBy(*order)
     second = Window.partitionBy(*group).orderBy(*order)
     return (
@@ -34,7 +36,7 @@ def top_per_group(
     )
 
 
-def order_columns(order: Sequence[Column], df: DataFrame) -> list[str]:
-    """Columns that decide the part of a row: all hashable ones (their mix only spreads rows)."""
-    hashable = [f.name for f in df.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
-    return hashable
+def _hashable(df: DataFrame) -> list[Column]:
+    """Columns whose mix deals the rows of a group to parts."""
+    kinds = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    return [named(c) for c, kind in kinds if "map<" not in kind and "variant" not in kind]

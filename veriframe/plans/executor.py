@@ -26,6 +26,7 @@ from veriframe.plans.analytics import lineage_rows
 from veriframe.plans.metadata import MetadataTables, resolve_assignments
 from veriframe.plans.rules import Rule
 from veriframe.sources.connectors import create_source
+from veriframe.streaming.checks import check_batches, read_batches
 
 log = logging.getLogger(__name__)
 
@@ -185,6 +186,38 @@ class RuleExecutor:
         self.tables.append("data_lineage", lineage_rows(results))
         return results
 
+    def execute_stream(
+        self, assignment_ids: Sequence[str], files_per_batch: int | None = None
+    ) -> DataFrame:
+        """Check the files that are new since the last call, batch by batch.
+
+        For row rules on tables of files. Returns the result rows of all batches so far, with
+        `batch_id`; a batch that is repeated after a failure is stored once.
+        """
+        tables: dict[tuple, list[Row]] = {}
+        for row in self._resolved(assignment_ids):
+            tables.setdefault((row.source_id, row.schema_name, row.table_name), []).append(row)
+        if not tables:
+            raise RuleError("none of the assignments is active")
+        stored = []
+        for (source_id, _, name), group in tables.items():
+            source = create_source(group[0].source_type, group[0].connection_config, self.spark)
+            if not hasattr(source, "read_stream"):
+                raise RuleError(f"tables of {group[0].source_type} cannot be read as a stream")
+            rules = [rule_of(row) for row in group]
+            # The checkpoint belongs to the table, so that every file is read once for its rules.
+            folder = self.tables.path(f"streams/{source_id}/{name}")
+            check_batches(
+                source.read_stream(name, files_per_batch), rules, f"{folder}/results",
+                f"{folder}/checkpoint", name,
+            )
+            results = read_batches(self.spark, f"{folder}/results")
+            if results is not None:
+                stored.append(results)
+        if not stored:
+            return self.tables.read("validation_results").withColumn("batch_id", F.lit(0)).limit(0)
+        return reduce(DataFrame.unionByName, stored)
+
     def _resolved(self, assignment_ids: Sequence[str], active_only: bool = True) -> list[Row]:
         """Rule text is needed on the driver; there is one row per requested assignment."""
         wanted = self.tables.read("rule_assignments").where(

@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from veriframe.errors import RuleError
+from veriframe.functions.names import quoted
 from veriframe.operators.results import Run
 from veriframe.operators.row_checks import check_rows
 from veriframe.operators.samples import SAMPLE_SIZE, attach_samples, sample_violations
 from veriframe.plans.rules import Rule
 
 
-def _quoted(text: str) -> str:
+def _literal(text: str) -> str:
     quote = '"' if "'" in text else "'"
     if quote in text:
         raise RuleError("a pattern may hold one kind of quote only")
     return f"r{quote}{text}{quote}"
 
 
-def _name(column: str) -> str:
-    return "`" + column.replace("`", "``") + "`"
-
-
 class _Validator:
     def __init__(self, run: Run = Run()):
         self.run = run
@@ -60,17 +57,17 @@ class SingleFieldValidator(_Validator):
         function = "is_not_null" if allow_empty_strings else "is_not_empty"
         return self._named(
             df, [column], "Completeness Check", "completeness",
-            f"{function}({_name(column)})", rule_id, "single_field",
+            f"{function}({quoted(column)})", rule_id, "single_field",
         )
 
     def validate_accuracy(
         self, df: DataFrame, column: str, validation_type: str, *,
         min_value=None, max_value=None, pattern: str | None = None, rule_id: str | None = None,
     ) -> DataFrame:
-        c = _name(column)
+        c = quoted(column)
         logic = {
             "range": lambda: f"range_check({c}, {min_value}, {max_value})",
-            "regex": lambda: f"regex_match({c}, {_quoted(pattern or '')})",
+            "regex": lambda: f"regex_match({c}, {_literal(pattern or '')})",
             "email": lambda: f"is_email({c})",
             "phone": lambda: f"is_phone({c})",
         }.get(validation_type)
@@ -101,7 +98,7 @@ class MultiFieldValidator(_Validator):
             raise RuleError(f"unsupported consistency check: {consistency_type}")
         if len(columns) != 2:
             raise RuleError("a consistency check compares exactly two columns")
-        a, b = map(_name, columns)
+        a, b = map(quoted, columns)
         return self._named(
             df, columns, f"Consistency Check - {consistency_type}", "consistency",
             f"{consistency_type}({a}, {b})", rule_id or f"consistency_{consistency_type}",

@@ -114,6 +114,15 @@ class FileSource(Source):
         }
         return {k: v for k, v in settings.items() if v} if self.root.startswith("s3a:") else {}
 
+    def read_stream(self, table: str, files_per_batch: int | None = None) -> DataFrame:
+        """New files of a table as a stream, with the types the table has now."""
+        reader = self.spark.readStream.format(self.format).options(**self._options())
+        if self.format == "csv":
+            reader = reader.option("header", True)
+        if files_per_batch:
+            reader = reader.option("maxFilesPerTrigger", files_per_batch)
+        return reader.schema(self._table(table).schema).load(self.path(table))
+
     def _table(self, table: str, schema: str | None = None) -> DataFrame:
         reader = self.spark.read.format(self.format).options(**self._options())
         if self.format == "csv":
