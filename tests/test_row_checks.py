@@ -1,3 +1,6 @@
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +151,23 @@ def test_sample_is_bounded_ordered_and_masked(spark):
     assert [r["rank"] for r in by_rule["all"]] == list(range(1, 8))
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bounds_do_not_change_a_sample(spark, seed):
+    """Keys with nulls, ties, NaN, quotes and times; the share that sets bounds is large and small."""
+    rng = random.Random(seed)
+    texts = [None, "a", "it's", "b\\n", "", "é"]
+    rows = [(rng.choice(texts), rng.choice([None, 0.1, -0.0, float("nan"), float("inf"), 1 / 3]),
+             dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=rng.randrange(1000)), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "t string, x double, at timestamp, i int").repartition(8)
+    rules = [Rule("all", "i < 0"), Rule("third", "i % 3 <> 0"), Rule("few", "i <> 77"), Rule("none", "i >= 0")]
+    plain = sample_violations(df, rules, ["t", "x", "at", "i"], 40, bound_from=0.0)
+    want = sorted(map(repr, plain.collect()))
+    assert len(want) == 81
+    for share in (0.01, 0.1, 1.0):
+        got = sample_violations(df, rules, ["t", "x", "at", "i"], 40, bound_from=share)
+        assert sorted(map(repr, got.collect())) == want
+
+
 def test_odd_column_names(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("b", None)], "`first.name` string, `a ``b` int")
     rules = [Rule("r", "is_not_null(column)", ("a `b",)), Rule("s", "col('first.name') = 'a'", ("first.name",))]

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType,
+)
 
 from veriframe.errors import RuleError
-from veriframe.functions.names import named
+from veriframe.functions.names import named, quoted
 from veriframe.operators.results import Run, sql_literal
 from veriframe.operators.row_checks import resolve, violation
 from veriframe.operators.topk import top_per_group
@@ -16,6 +20,9 @@ from veriframe.plans.rules import Rule
 
 SAMPLE_SIZE = 100
 
+# Types whose values can be written as SQL text and read back unchanged.
+_COMPARED = (BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType)
+
 
 def _violations(df: DataFrame, rules: Sequence[Rule]) -> list[tuple[Rule, str]]:
     good, _ = resolve(df, rules)
@@ -52,7 +59,10 @@ def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
 
 def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per row and rule it violates, with `rule_id`."""
-    violations = _violations(df, rules)
+    return _exploded(df, _violations(df, rules))
+
+
+def _exploded(df: DataFrame, violations: Sequence[tuple[Rule, str]]) -> DataFrame:
     exploded = df.where(_any(violations)).withColumn("rule_id", F.explode(F.expr(_ids(violations))))
     return exploded.where("rule_id IS NOT NULL")
 
@@ -74,6 +84,41 @@ def mask_columns(df: DataFrame, sensitive: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: masked(c, how) for c, how in sensitive.items()}) if sensitive else df
 
 
+def _value(value, data_type: DataType) -> str:
+    """A value of a row as SQL; its type is that of the column it comes from."""
+    kind = data_type.simpleString()
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"CAST('{value}' AS {kind})"
+    return f"CAST({sql_literal(value if isinstance(value, str) else str(value))} AS {kind})"
+
+
+def _bounded(
+    df: DataFrame, violations: Sequence[tuple[Rule, str]], key: Sequence[str], n: int, fraction: float
+) -> list[tuple[Rule, str]]:
+    """Violations that can be among the first `n` of their rule.
+
+    The n-th violation of some of the rows cannot come before the n-th of all rows. So the n-th
+    one of a small share of the table bounds each rule, and rows behind it need not be sorted. A
+    rule with fewer violations in that share stays as it is.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    if any(not isinstance(types[k], _COMPARED) for k in key):
+        return list(violations)
+    columns = [named(k) for k in key]
+    some = _exploded(df.sample(fraction=fraction, seed=11), violations).select("rule_id", *columns)
+    last = top_per_group(some, ["rule_id"], columns, n).where(F.col("rank") == n).collect()
+    row = "struct(" + ", ".join(map(quoted, key)) + ")"
+    bounds = {
+        r["rule_id"]: "struct(" + ", ".join(_value(r[k], types[k]) for k in key) + ")" for r in last
+    }
+    return [
+        (rule, f"({v}) AND {row} <= {bounds[rule.rule_id]}" if rule.rule_id in bounds else v)
+        for rule, v in violations
+    ]
+
+
 def sample_violations(
     df: DataFrame,
     rules: Sequence[Rule],
@@ -81,14 +126,19 @@ def sample_violations(
     sample_size: int = SAMPLE_SIZE,
     sensitive: Mapping[str, str] | None = None,
     run: Run = Run(),
+    bound_from: float = 0.01,
 ) -> DataFrame:
     """At most `sample_size` failing rows per rule, the first ones by `key`.
 
-    Ids of violated rules are exploded from one scan. The record, JSON of the columns the rule is
-    assigned to, is only rendered for rows that stay in the sample.
+    Ids of violated rules are exploded from one scan; a share `bound_from` of the table tells
+    beforehand which rows come too late to be in the sample. The record, JSON of the columns the
+    rule is assigned to, is only rendered for rows that stay.
     """
     wanted = [c for c in dict.fromkeys([*key, *(c for r in rules for c in r.columns)])]
-    exploded = violating_rows(df, rules).select("rule_id", *[named(c) for c in wanted if c in df.columns])
+    violations = _violations(df, rules)
+    if bound_from:
+        violations = _bounded(df, violations, key, sample_size, bound_from)
+    exploded = _exploded(df, violations).select("rule_id", *[named(c) for c in wanted if c in df.columns])
     ranked = top_per_group(exploded, ["rule_id"], [named(k) for k in key], sample_size)
     shown = mask_columns(ranked, {c: m for c, m in (sensitive or {}).items() if c in wanted})
     record = F.lit(None).cast("string")
