@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import packing, simhash_dedup
+from veriframe.llm import ngram_model, packing, simhash_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(doc_id: str, modulus: int):
+    """crc32 of the id as text, modulo; a missing id counts as remainder 0."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus, F.lit(0))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a bigram model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    return ngram_model.score(docs, ngram_model.train(docs.where("not held_out")), keep=("held_out",))
+
+
 @query
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates by 64-bit fingerprints at most four bits apart."""
