@@ -29,28 +29,25 @@ class Brute:
             self.bi.update(zip(["<s>", *w[:-1]], w))
         self.cont = Counter(b for _, b in self.bi)
         self.d2, self.d1 = discounts(self.bi.values()), discounts(self.cont.values())
-        self.ctx = {}
+        self.ctx, self.total, self.v = {}, sum(self.cont.values()), len(self.uni)
         for (a, _), c in self.bi.items():
-            self.ctx.setdefault(a, []).append(c)
+            n, rest = self.ctx.get(a, (0, 0.0))
+            self.ctx[a] = n + c, rest + self.cut(c, self.d2)
+        self.rest = sum(self.cut(c, self.d1) for c in self.cont.values()) / self.total if self.total else 1
 
     def cut(self, c, d):
         return 0 if c == 0 else d[min(c, 3) - 1]
 
     def low(self, w):
-        total = sum(self.cont.values())
-        if not total:
-            return 1 / (len(self.uni) + 1)
-        rest = sum(self.cut(c, self.d1) for c in self.cont.values()) / total
         c = self.cont[w]
-        return max(c - self.cut(c, self.d1), 0) / total + rest / (len(self.uni) + 1)
+        return (max(c - self.cut(c, self.d1), 0) / self.total if c else 0) + self.rest / (self.v + 1)
 
     def p(self, a, w):
         if a not in self.ctx:
             return self.low(w)
-        total = sum(self.ctx[a])
-        rest = sum(self.cut(c, self.d2) for c in self.ctx[a]) / total
+        total, rest = self.ctx[a]
         c = self.bi[a, w]
-        return max(c - self.cut(c, self.d2), 0) / total + rest * self.low(w)
+        return max(c - self.cut(c, self.d2), 0) / total + rest / total * self.low(w)
 
     def row(self, text):
         w = words(text)
