@@ -13,7 +13,7 @@ def model_of(texts):
     rows = set()
     for d, (label, text) in enumerate(texts):
         word, before, _ = toxicity.tokens(Chunk(pa.array([text])))
-        rows |= {(label, d, int(b), int(w)) for w, b in zip(word, before)}
+        rows |= {(label, d, int(b), int(w)) for w, b in zip(word, before)}  # texts differ in what stands before
     counts = {}
     for label, _, b, w in rows:
         counts[label, b, w] = counts.get((label, b, w), 0) + 1

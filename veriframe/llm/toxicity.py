@@ -1,7 +1,8 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Two bigram models are fitted, one on toxic and one on ordinary documents; a bigram counts once for each
-document, so that a text repeating itself does not make an expression frequent. Both interpolate down to
+Two bigram models are fitted, one on toxic and one on ordinary documents. At both levels
+the counts are continuation counts, in how many different places a bigram or word follows, so that
+copies and texts repeating themselves do not make an expression frequent. Both interpolate down to
 their own word distribution and from there to one shared distribution, the counts of both
 classes together; an expression that is rare in either class is therefore nearly as likely under
 both and says little. A document's evidence is the difference of its two log-likelihoods divided
@@ -24,6 +25,7 @@ from veriframe.llm.arrays import U64, Rolling, add_up, chunks, counts_by, find,
 from veriframe.llm.ngram_model import discounted, estimate_discounts, how_many
 
 MAX_PER_CLASS = 2000
+CONTEXT_WEIGHT = 500  # occurrences of a context that its words alone outweigh
 STRONG = 2.0  # an expression's difference above this is strong evidence
 MIN_PER_CLASS = 50
 SEPARATOR = np.ones(256, bool)  # words are runs of ASCII letters, digits and non-ASCII bytes
@@ -53,8 +55,9 @@ class ClassModel:
         self.pairs, self.count = add_up([pair_hash(first, second)], [count])
         self.words, self.before = add_up([second], [np.ones(len(second), np.int64)])
         self.total = max(1, int(self.before.sum()))
-        self.discounts = estimate_discounts(how_many(count))
-        self.low_discounts = estimate_discounts(how_many(self.before))
+        # What one document alone says goes to the shared counts as a whole.
+        self.discounts = (1.0, *estimate_discounts(how_many(count))[1:])
+        self.low_discounts = (1.0, *estimate_discounts(how_many(self.before))[1:])
         self.contexts, self.context_total = add_up([first], [count])
         _, self.rest = add_up([first], [count - discounted(count, self.discounts)])
         self.low_rest = float((self.before - discounted(self.before, self.low_discounts)).sum()) / self.total if len(self.words) else 1.0
@@ -63,8 +66,8 @@ class ClassModel:
         """Class bigrams over class words over shared words."""
         low = discounted(share_of(self.words, self.before, word), self.low_discounts) / self.total + self.low_rest * shared
         total = share_of(self.contexts, self.context_total, before)
-        used = np.maximum(total, 1)
-        rest = np.where(total > 0, share_of(self.contexts, self.rest, before) / used, 1.0)
+        used = total + CONTEXT_WEIGHT
+        rest = (share_of(self.contexts, self.rest, before) + CONTEXT_WEIGHT) / used
         return np.log(discounted(share_of(self.pairs, self.count, pair), self.discounts) / used + rest * low)
 
 
@@ -143,17 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS,
                 label_ = np.asarray(rows.column("label"))[owner]
                 if not len(word):
                     continue
-                pair = pair_hash(before, word)
-                order = np.lexsort((pair, owner))
-                once = order[np.r_[True, (np.diff(pair[order]) != 0) | (np.diff(owner[order]) != 0)]]
-                once = once[np.lexsort((word[once], before[once], label_[once]))]
-                label_, before, word = label_[once], before[once], word[once]
-                new = np.flatnonzero(np.r_[True, (label_[1:] != label_[:-1]) | (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
-                yield table(label=pa.array(label_[new], pa.int32()), first=before[new].view(np.int64),
-                            second=word[new].view(np.int64), n=np.diff(np.r_[new, len(word)]))
-
-    counted = sample.where("not curve").mapInArrow(count, "label int, first long, second long, n long").groupBy(
-        "label", "first", "second").agg(F.sum("n").alias("n")).toArrow()  # bounded by the sample
+                # The word before the bigram; at a text's start, the start mark.
+                third = np.where(before == START, START, np.r_[START, before[:-1]])
+                yield table(label=pa.array(label_, pa.int32()), third=third.view(np.int64),
+                            first=before.view(np.int64), second=word.view(np.int64))
+
+    counted = sample.where("not curve").mapInArrow(count, "label int, third long, first long, second long").distinct().groupBy(
+        "label", "first", "second").agg(F.count("*").alias("n")).toArrow()  # bounded by the sample
     got = [counted.column(c).to_numpy() for c in ("label", "first", "second", "n")]
     models = TwoModels(got[0], got[1].view(U64), got[2].view(U64), got[3])
 
