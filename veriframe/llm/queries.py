@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import decontamination, ngram_model, packing, simhash_dedup, suffix_dedup, toxicity
+from veriframe.llm import decontamination, ngram_model, packing, quality, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,15 @@ def remainder(doc_id: str, modulus: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus, F.lit(0))
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a field of lines fitted on labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 5) != 0)
+    found = quality.score(docs, quality.fit(docs.where("not held_out"), labels), keep=("held_out",))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by two models of the labelled ones that are not held out."""
