@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import decontamination, ngram_model, packing, quality, simhash_dedup, suffix_dedup, toxicity
+from veriframe.llm import decontamination, fingerprints, ngram_model, packing, quality, simhash_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,6 +66,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_model.score(docs, ngram_model.train(docs.where("not held_out")), keep=("held_out",))
 
 
+@query
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' fingerprints beside those of their edited texts and of the next documents."""
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates by 64-bit fingerprints at most four bits apart."""
