@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import decontamination, fingerprints, ngram_model, packing, quality, simhash_dedup, suffix_dedup, toxicity
+from veriframe.llm import decontamination, fingerprints, licenses, ngram_model, packing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def query(fn):
@@ -43,6 +44,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences and notices that a document is or has as lines."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op2_licenses"] = licenses.oracle_sql()
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by two models of the labelled ones that are not held out."""
@@ -89,3 +99,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(WORD_VOCABULARY))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and tokens of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_VOCABULARY))
