@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 U64 = np.uint64
 _random = np.random.default_rng(20240607)
@@ -98,8 +98,19 @@ def sums_by(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, weights=values, minlength=n)
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+_remembered: dict[str, dict] = {}
+
+
+def memory(owner: str | None) -> dict:
+    """What this worker remembers between tasks for one operator; others' memory is given up."""
+    for name in [n for n in _remembered if n != owner]:
+        del _remembered[name]
+    return _remembered.setdefault(owner, {}) if owner else {}
+
+
+def chunks(batch: pa.RecordBatch, column: str = "text", owner: str | None = None) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """Slices of a batch with at most CHUNK_BYTES of text, or one document; null texts are empty."""
+    memory(owner)
     texts = pc.fill_null(batch.column(column), "")
     sizes = np.asarray(pc.binary_length(texts), np.int64) + 1
     total, start = np.cumsum(sizes), 0
@@ -116,7 +127,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    env["ARROW_DEFAULT_MEMORY_POOL"] = "system"  # freed memory goes back to the system
+    env["MALLOC_ARENA_MAX"], env["MALLOC_TRIM_THRESHOLD_"] = "1", "1000000"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 

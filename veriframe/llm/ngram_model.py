@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.arrays import U64, Chunk, Rolling, add_up, binary_rows, chunks, counts_by, find, prepare, read_array, sums_by, table, write_array
+from veriframe.llm.arrays import U64, Chunk, Rolling, add_up, binary_rows, chunks, counts_by, find, memory, prepare, read_array, sums_by, table, write_array
 from veriframe.session import shared_folder
 
 END, BEGIN = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
@@ -54,12 +54,13 @@ class Model:
         return f"{self.folder}/{name}-{bucket:05d}.bin"
 
     def array(self, name: str, bucket: int, dtype) -> np.ndarray:
+        own = memory("ngrams")
         key = (self.folder, name, bucket)
-        if key not in _arrays:
-            if any(k[0] != self.folder for k in _arrays):
-                _arrays.clear()  # another model's files
-            _arrays[key] = read_array(self.path(name, bucket), dtype)
-        return _arrays[key]
+        if key not in own:
+            if any(k[0] != self.folder for k in own):
+                own.clear()  # another model's files
+            own[key] = read_array(self.path(name, bucket), dtype)
+        return own[key]
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, or -1 for an unknown word; count) of each hash."""
@@ -116,9 +117,6 @@ class Model:
         return p
 
 
-_arrays: dict = {}
-
-
 def discounted(count: np.ndarray, discounts: tuple) -> np.ndarray:
     cut = np.select([count == 0, count == 1, count == 2], [0.0, discounts[0], discounts[1]], discounts[2])
     return np.maximum(count - cut, 0)
@@ -182,7 +180,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         def run(batches):
             held = Held()
             for batch in batches:
-                for _, chunk in chunks(batch):
+                for _, chunk in chunks(batch, owner="ngrams"):
                     for bucket, keys, counts in pairs(chunk):
                         held.add(bucket, keys, counts)
                     if held.rows > HELD_ROWS:
@@ -301,7 +299,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def run(batches):
         for batch in batches:
-            for rows, chunk in chunks(batch):
+            for rows, chunk in chunks(batch, owner="ngrams"):
                 hashes, owner, ends = token_hashes(chunk)
                 number, count = model.lookup(np.append(hashes, BEGIN))
                 number, count, begin = number[:-1], count[:-1], number[-1]

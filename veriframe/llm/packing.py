@@ -129,7 +129,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, doc_id: str = "doc_i
         words, task = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for rows, chunk in chunks(batch):
+            for rows, chunk in chunks(batch, owner="encoder"):
                 ids, cuts = words.ids(chunk)
                 n = np.diff(cuts) + 1  # with the end token
                 count = -(-n // capacity)

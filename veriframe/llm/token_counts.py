@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.arrays import U64, Rolling, chunks, counts_by, find, prepare, sums_by, table
+from veriframe.llm.arrays import U64, Rolling, chunks, counts_by, find, memory, prepare, sums_by, table
 
 BLANK_MARK = "▁".encode()
 LONG = 64  # bytes; longer pre-tokens are computed one by one
@@ -147,14 +147,12 @@ class Vocabulary:
         return counts_by(owner, n), sums_by(owner, self.counts[at][inverse], n).astype(np.int64)
 
 
-_vocabularies: dict[str, Vocabulary] = {}
-
-
 def vocabulary(path: str) -> Vocabulary:
     """This worker's vocabulary of a file."""
-    if path not in _vocabularies:
-        _vocabularies[path] = Vocabulary.read(path)
-    return _vocabularies[path]
+    own = memory("pieces")
+    if path not in own:
+        own[path] = Vocabulary.read(path)
+    return own[path]
 
 
 def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,7 +166,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         own = vocabulary(path)
         for batch in batches:
-            for rows, chunk in chunks(batch):
+            for rows, chunk in chunks(batch, owner="pieces"):
                 words, tokens = own.chunk_counts(chunk)
                 yield table(doc_id=rows.column("doc_id"), n_words=words, n_tokens=tokens)
 

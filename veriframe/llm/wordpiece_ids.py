@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from veriframe.llm.arrays import U64, Chunk, Rolling, find
+from veriframe.llm.arrays import U64, Chunk, Rolling, find, memory
 
 REMEMBERED = 1_500_000
 BLANK = np.zeros(256, bool)
@@ -120,11 +120,9 @@ class WordEncoder:
         return ids, np.r_[0, np.cumsum(per_doc)]
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder of a file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    own = memory("encoder")
+    if path not in own:
+        own[path] = WordEncoder(path)
+    return own[path]
