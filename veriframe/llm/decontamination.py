@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.arrays import LOWER, U64, Chunk, Rolling, chunks, prepare, table
+from veriframe.llm.arrays import LOWER, U64, Chunk, Rolling, chunks, find, prepare, table
 
 Q = 8
 RATE = 0.1
 BLOCK_BYTES = 4 << 20
-FILTER_BITS = 24
+FILTER_BITS = 20
+TABLE_CELLS = 1 << 23
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -60,39 +61,65 @@ class Items:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         grams = Rolling(data).of(first[owner] + place, first[owner] + place + q) if len(owner) else np.zeros(0, U64)
         order = np.argsort(grams, kind="stable")
-        self.grams, self.owner, self.place = grams[order], owner[order], place[order]
+        self.owner, self.place = owner[order], place[order]
+        self.grams, self.from_, self.many = np.unique(grams[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.grams >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def candidates(self, data, first, end):
-        """(document, item, lowest diagonal of the band) of bands that meet the bound."""
-        q = self.q
+        """Bands that meet the bound, as (document, item, lowest diagonal), and exact occurrences, as
+        (document, item, diagonal): all grams of the item on one diagonal. No band holds an exact
+        occurrence and another one, so such bands are not among the first."""
+        q, none = self.q, (np.zeros(0, np.int64),) * 3
         if len(data) < q or not len(self.grams):
-            return (np.zeros(0, np.int64),) * 3
+            return none, none
         at = np.arange(len(data) - q + 1)
         grams = Rolling(data).of(at, at + q)
-        at = at[self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)]]
-        low = np.searchsorted(self.grams, grams[at], "left")
-        many = np.searchsorted(self.grams, grams[at], "right") - low
-        at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        at = np.flatnonzero(self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)])
+        gram, known = find(self.grams, grams[at])
+        at, gram = at[known], gram[known]
         doc = np.searchsorted(end, at, "right")
-        inside = (doc < len(end)) & (at >= first[np.minimum(doc, len(end) - 1)]) & (at + q <= end[np.minimum(doc, len(end) - 1)])
-        at, low, many, doc = at[inside], low[inside], many[inside], doc[inside]
-        hit = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        doc, at = np.repeat(doc, many), np.repeat(at, many)
+        doc = np.minimum(doc, len(end) - 1)
+        inside = (at >= first[doc]) & (at + q <= end[doc])
+        at, gram, doc = at[inside], gram[inside], doc[inside]
+        many = self.many[gram]
+        hit = np.repeat(self.from_[gram] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        source = np.repeat(np.arange(len(at)), many)
+        # Items that share fewer grams with a whole text than the bound asks of a band go first.
         item = self.owner[hit]
+        pair = doc[source] * len(self.ids) + item
+        if len(end) * len(self.ids) <= TABLE_CELLS:
+            shared = np.bincount(pair, minlength=1)[pair]
+        else:
+            _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
+            shared = count[inverse]
+        enough = shared >= self.bound[item]
+        if not enough.any():
+            return none, none
+        source, hit, item = source[enough], hit[enough], item[enough]
+        doc, at = doc[source], at[source]
         diagonal = at - first[doc] - self.place[hit]
+        order = np.lexsort((diagonal, item, doc))
+        d, i, g = doc[order], item[order], diagonal[order]
+        new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (g[1:] != g[:-1])])
+        full = np.diff(np.r_[new, len(d)]) == self.size[i[new]] - q + 1
+        exact = tuple(x[new[full]] for x in (d, i, g))
         width = self.budget[item] + 1
         band = diagonal // width  # a band is this one and the next
-        doc, item, band = (np.r_[x, y] for x, y in ((doc, doc), (item, item), (band, band - 1)))
-        order = np.lexsort((band, item, doc))
-        doc, item, band = doc[order], item[order], band[order]
-        if not len(doc):
-            return doc, item, band
+        place = self.place[hit]
+        doc, item, band, place = (np.r_[x, y] for x, y in ((doc, doc), (item, item), (band, band - 1), (place, place)))
+        order = np.lexsort((place, band, item, doc))
+        doc, item, band, place = doc[order], item[order], band[order], place[order]
+        # Each gram of the item counts once in a band, however often the text repeats it.
+        once = np.r_[True, (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(band) != 0) | (np.diff(place) != 0)]
+        doc, item, band = doc[once], item[once], band[once]
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
-        enough = np.diff(np.r_[new, len(doc)]) >= self.bound[item[new]]
-        new = new[enough]
-        return doc[new], item[new], band[new] * (self.budget[item[new]] + 1)
+        new = new[np.diff(np.r_[new, len(doc)]) >= self.bound[item[new]]]
+        low = band[new] * (self.budget[item[new]] + 1)
+        solved = {(x, y, b) for x, y, z, w in zip(*(v.tolist() for v in exact), (self.budget[exact[1]] + 1).tolist())
+                  for b in (z // w * w, (z // w - 1) * w)}
+        rest = np.array([c not in solved for c in zip(doc[new].tolist(), item[new].tolist(), low.tolist())], bool)
+        return (doc[new][rest], item[new][rest], low[rest]), exact
 
     def align(self, data, first, end, doc, item, diagonal):
         """(edits, start, stop) of the best occurrence of each item in its band; places in the document."""
@@ -142,8 +169,8 @@ class Items:
     def passages(self, chunk: Chunk):
         """(document, item, start, stop, edits) of all occurrences within budget; byte places in the text."""
         data, place, first, end = normalised(chunk)
-        doc, item, diagonal = self.candidates(data, first, end)
-        found = []
+        (doc, item, diagonal), exact = self.candidates(data, first, end)
+        found = [(d, i, g, g + int(self.size[i]), 0) for d, i, g in zip(*(x.tolist() for x in exact))]
         for part in range(0, len(doc), 512):
             d, i, g = (x[part:part + 512] for x in (doc, item, diagonal))
             edits, start, stop = self.align(data, first, end, d, i, g)
