@@ -70,6 +70,12 @@ class Rolling:
         return mix(raw + (ends - starts).astype(U64))
 
 
+    def grams(self, size: int) -> np.ndarray:
+        """Hashes of all slices of one size, in order of their starts; not to be mixed with `of`."""
+        n = len(self.prefix) - size
+        return (self.prefix[size:] - self.prefix[:n]) * self.inverse[:n]
+
+
 class Chunk:
     """Documents joined by line feeds: `data`, and where each document starts and ends."""
 

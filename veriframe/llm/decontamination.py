@@ -32,11 +32,11 @@ WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 def normalised(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, their places in the chunk, first and end place of each document)."""
-    inside = WORD[chunk.data]
+    inside = WORD.take(chunk.data)
     after = np.r_[False, inside[:-1]]
     keep = inside | after  # one separator after each word
     place = np.flatnonzero(keep)
-    data = np.where(inside, LOWER[chunk.data], 32).astype(np.uint8)[keep]
+    data = np.where(inside, LOWER.take(chunk.data), np.uint8(32))[keep]
     first = np.searchsorted(place, chunk.starts)
     end = np.searchsorted(place, chunk.ends, "right")
     # The last word's separator is not part of the text.
@@ -59,7 +59,7 @@ class Items:
         count = np.where(self.size >= q, self.size - q + 1, 0)
         owner = np.repeat(np.arange(len(count)), count)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        grams = Rolling(data).of(first[owner] + place, first[owner] + place + q) if len(owner) else np.zeros(0, U64)
+        grams = Rolling(data).grams(q)[first[owner] + place] if len(owner) else np.zeros(0, U64)
         order = np.argsort(grams, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.grams, self.from_, self.many = np.unique(grams[order], return_index=True, return_counts=True)
@@ -73,28 +73,27 @@ class Items:
         q, none = self.q, (np.zeros(0, np.int64),) * 3
         if len(data) < q or not len(self.grams):
             return none, none
-        at = np.arange(len(data) - q + 1)
-        grams = Rolling(data).of(at, at + q)
-        at = np.flatnonzero(self.filter[(grams >> U64(64 - FILTER_BITS)).astype(np.int64)])
-        gram, known = find(self.grams, grams[at])
+        grams = Rolling(data).grams(q)
+        at = np.flatnonzero(self.filter.take((grams >> U64(64 - FILTER_BITS)).view(np.int64)))
+        gram, known = find(self.grams, grams.take(at))
         at, gram = at[known], gram[known]
         doc = np.searchsorted(end, at, "right")
         doc = np.minimum(doc, len(end) - 1)
         inside = (at >= first[doc]) & (at + q <= end[doc])
         at, gram, doc = at[inside], gram[inside], doc[inside]
-        many = self.many[gram]
-        hit = np.repeat(self.from_[gram] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        many = self.many.take(gram)
         source = np.repeat(np.arange(len(at)), many)
+        hit = (self.from_.take(gram) - (np.cumsum(many) - many)).take(source) + np.arange(len(source))
         # Items that share fewer grams with a whole text than the bound asks of a band go first.
-        item = self.owner[hit]
-        pair = doc[source] * len(self.ids) + item
+        item = self.owner.take(hit)
+        pair = (doc * len(self.ids)).take(source) + item
         if len(end) * len(self.ids) <= TABLE_CELLS:
-            shared = np.bincount(pair, minlength=1)[pair]
+            shared = np.bincount(pair, minlength=1).take(pair)
         else:
             _, inverse, count = np.unique(pair, return_inverse=True, return_counts=True)
             shared = count[inverse]
-        enough = shared >= self.bound[item]
-        if not enough.any():
+        enough = np.flatnonzero(shared >= self.bound.take(item))
+        if not len(enough):
             return none, none
         source, hit, item = source[enough], hit[enough], item[enough]
         doc, at = doc[source], at[source]
