@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 import random
 
@@ -198,3 +199,32 @@ def test_counts_of_many_tasks_are_merged_in_two_rounds(spark, users):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == want and "hashpartitioning(_group" in plan
     assert (empty.records_checked, empty.records_failed) == (0, 0)
+
+
+def test_rules_that_are_not_about_a_row_are_error_rows(spark):
+    df = spark.range(5)
+    rules = [Rule("agg", "max(id) > 3", ("id",)), Rule("win", "row_number() OVER (ORDER BY id) > 1", ("id",)),
+             Rule("gone", "nowhere > 1", ("id",)), Rule("ok", "id >= 0", ("id",))]
+    rows = {r.rule_id: r for r in check_rows(df, rules, Run("r")).collect()}
+    assert rows["ok"].status == "pass"
+    assert all(rows[k].status == "error" for k in ("agg", "win", "gone"))
+    assert "UNRESOLVED_COLUMN" in rows["gone"].error_message and "errorClass" not in rows["gone"].error_message
+
+
+def test_time_keys_bound_samples_in_any_driver_zone(spark):
+    import time
+
+    from veriframe.operators.samples import sample_violations
+
+    df = spark.range(20_000).selectExpr("id", "timestamp_seconds(1700000000 + id) AS ts")
+    rules = [Rule("late", "id < 0", ("id",))]
+    before = os.environ.get("TZ")
+    try:
+        os.environ["TZ"] = "America/New_York"
+        time.tzset()
+        got = sample_violations(df, rules, ["ts"], 20, bound_from=0.1).collect()
+    finally:
+        os.environ.pop("TZ") if before is None else os.environ.update(TZ=before)
+        time.tzset()
+    want = sample_violations(df, rules, ["ts"], 20, bound_from=0.0).collect()
+    assert len(got) == 20 and sorted(r.record for r in got) == sorted(r.record for r in want)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import logging
 import re
 
+from pyspark.logger import PySparkLogger
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def to_sql(text: str, mapping: dict[str, str] | None = None) -> str:
 def parse_rule_expression(text: str, column_mapping: dict[str, str] | None = None) -> Column:
     """The rule as a Column; text Spark cannot parse raises `RuleError`."""
     predicate = F.expr(to_sql(text, column_mapping))
-    quiet = logging.getLogger("SQLQueryContextLogger")
+    quiet = PySparkLogger.getLogger("SQLQueryContextLogger")
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
+from pyspark.logger import PySparkLogger
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,15 @@ def violation(predicate: str, null_policy: str = "fail") -> str:
 
 def _types(df: DataFrame, predicates: Sequence[str]) -> list[str]:
     """Types of the predicates on this table; raises when Spark cannot resolve one of them."""
-    quiet = logging.getLogger("SQLQueryContextLogger")
+    quiet = PySparkLogger.getLogger("SQLQueryContextLogger")
     level = quiet.level
     quiet.setLevel(logging.CRITICAL)
     try:
         named = df.selectExpr(*[f"{p} AS p{i}" for i, p in enumerate(predicates)])
-        return [f.dataType.simpleString() for f in named.schema]
+        types = [f.dataType.simpleString() for f in named.schema]
+        if predicates and set(types) == {"boolean"}:
+            df.where(" OR ".join(predicates))  # refuses aggregates, windows and generators
+        return types
     finally:
         quiet.setLevel(level)
 

@@ -89,6 +89,8 @@ def _value(value, data_type: DataType) -> str:
     kind = data_type.simpleString()
     if value is None:
         return f"CAST(NULL AS {kind})"
+    if kind == "timestamp":  # microseconds: a moment on its way through Python knows no time zone
+        return f"timestamp_micros({value})"
     if isinstance(value, float) and not math.isfinite(value):
         return f"CAST('{value}' AS {kind})"
     return f"CAST({sql_literal(value if isinstance(value, str) else str(value))} AS {kind})"
@@ -108,7 +110,9 @@ def _bounded(
         return list(violations)
     columns = [named(k) for k in key]
     some = _exploded(df.sample(fraction=fraction, seed=11), violations).select("rule_id", *columns)
-    last = top_per_group(some, ["rule_id"], columns, n).where(F.col("rank") == n).collect()
+    last = top_per_group(some, ["rule_id"], columns, n).where(F.col("rank") == n)
+    moments = {k: F.unix_micros(named(k)) for k in key if types[k].simpleString() == "timestamp"}
+    last = last.withColumns(moments).collect() if moments else last.collect()
     row = "struct(" + ", ".join(map(quoted, key)) + ")"
     bounds = {
         r["rule_id"]: "struct(" + ", ".join(_value(r[k], types[k]) for k in key) + ")" for r in last
