@@ -23,7 +23,7 @@ def model_of(texts):
 
 
 def test_repeated_expressions_count_and_rare_ones_hardly():
-    m = model_of([(1, f"vile word{i}") for i in range(40)] + [(0, f"good word{i + 40}") for i in range(40)])
+    m = model_of([(1, f"word{i} vile") for i in range(40)] + [(0, f"word{i + 40} good") for i in range(40)])
     differences = m.differences(*toxicity.tokens(Chunk(pa.array(["vile"])))[:2])
     rare = m.differences(*toxicity.tokens(Chunk(pa.array(["unseen"])))[:2])
     assert differences[0] > 2 and abs(rare[0]) < 0.5
