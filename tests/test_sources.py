@@ -65,6 +65,27 @@ def test_jdbc_partitions_and_write_options(spark):
     assert not plain.test_connection()
 
 
+def test_jdbc_query_in_ranges(spark, monkeypatch):
+    asked = []
+
+    class Reader:
+        def load(self):
+            return "rows"
+
+    monkeypatch.setattr(JdbcSource, "_reader", lambda self, **options: asked.append(options) or Reader())
+    config = {"host": "h", **DB, "partition_column": "id", "lower_bound": 1, "upper_bound": 9, "num_partitions": 3}
+    assert create_source("mysql", config, spark)._query("SELECT id FROM t") == "rows"
+    create_source("mysql", {"host": "h", **DB}, spark)._query("SELECT id FROM t")
+    assert asked == [
+        {"dbtable": "(SELECT id FROM t) q", "partitionColumn": "id", "lowerBound": "1", "upperBound": "9", "numPartitions": "3"},
+        {"query": "SELECT id FROM t"}]
+
+
+def test_teradata_port_reaches_the_url():
+    options, _ = jdbc_options("teradata", {"host": "h", **DB, "port": 1026})
+    assert options["url"] == "jdbc:teradata://h/DATABASE=d,LOGMECH=LDAP,DBS_PORT=1026"
+
+
 def test_filters_and_projection(users):
     assert apply_filters(users, {"age": {"gte": 30}}).count() == 2
     assert apply_filters(users, {"age": {"gt": 25, "lt": 35}, "name": ["Jane Smith", "Alice Brown"]}).count() == 2

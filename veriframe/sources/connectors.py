@@ -216,6 +216,11 @@ class JdbcSource(Source):
         return self._reader(dbtable=name, **self.partition_options(name)).load()
 
     def _query(self, query):
+        """The rows of a query; it must return `partition_column` if the source names one."""
+        inner = f"({query}) q"
+        ranges = self.partition_options(inner)
+        if ranges:
+            return self._reader(dbtable=inner, **ranges).load()
         return self._reader(query=query).load()
 
     def write_options(self, destination: str, partition_by: Sequence[str]) -> dict[str, str]:

@@ -82,4 +82,6 @@ def jdbc_options(kind: str, config: Mapping) -> tuple[dict[str, str], str | None
     schema = config.get("schema") or preset["schema"]
     if kind == "teradata":
         schema = schema or config["database"]
+        if config.get("port"):  # its URL has no place for a port but a parameter
+            options["url"] += f",DBS_PORT={_text(config['port'])}"
     return options, schema
