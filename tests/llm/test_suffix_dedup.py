@@ -73,3 +73,23 @@ def test_multikey_order():
     order = suffix_dedup.multikey_order(keys)
     rows = list(zip(*(k.tolist() for k in keys)))
     assert [rows[i] for i in order] == sorted(rows)
+
+
+def test_stage_keeps_replacement_characters(spark):
+    """A cut takes the halves of its own edges; characters elsewhere stay, also replacement characters."""
+    import corpus_pipeline
+
+    # Two characters around the run, and whether both stay whole before it and after it.
+    edges = [("é", "è", True, False), ("€", "₭", True, False), ("😀", "😁", True, False), ("a", "b", True, True),
+             ("é", "ũ", False, True), ("€", "ℬ", False, False), ("😀", "🚀", False, False)]
+    rows = []
+    for i, (left, right, _, _) in enumerate(edges):
+        body = "".join(f"wort{i} {n} " for n in range(80)) + str(i)
+        rows += [(2 * i, f"\ufffd eins {left}{body}{left} drei \ufffd!"), (2 * i + 1, f"zwei {i} {right}{body}{right} vier\ufffd")]
+    rows.append((99, "nur \ufffd hier"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got[99] == "nur \ufffd hier"
+    for i, (left, right, before, after) in enumerate(edges):
+        assert got[2 * i] == f"\ufffd eins {left * before}{left * after} drei \ufffd!"
+        assert got[2 * i + 1] == f"zwei {i} {right * before}{right * after} vier\ufffd"

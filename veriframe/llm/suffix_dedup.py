@@ -311,12 +311,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     return grouped.mapInArrow(join_up, "key long, spans array<struct<start:long,end:long>>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+# In hexadecimal: the end of a character that a piece begins with, or the beginning of one at its end.
+HALVES = "^(?:[89AB].){1,3}|(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$"
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", characters: bool = False) -> DataFrame:
     """`docs` with the columns n_bytes, n_removed, n_spans and kept (binary, the remaining bytes).
 
     Null texts are empty. Repeated rows are copies of each other. Matches never cross documents. A
     text that is shorter than `length` is kept whole. An empty table gives no rows. Other columns
-    pass through; a column of `docs` with one of the four names is replaced.
+    pass through; a column of `docs` with one of the four names is replaced. With `characters`, the
+    rest of a character that a run cuts is not in `kept`, which then is valid UTF-8; the numbers stay.
     """
     spans = repeated_spans(docs, length, text)
     own = docs.columns
@@ -338,5 +343,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
         "n_removed": F.coalesce(F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0).cast("long")),
         "n_spans": F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_spans")).cast("long"),
     }
-    kept = F.when(F.col("_spans").isNull(), F.col("_body")).otherwise(F.unhex(F.array_join(F.transform(pieces, F.hex), "")))
+    shown = (lambda piece: F.regexp_replace(F.hex(piece), HALVES, "")) if characters else F.hex
+    kept = F.when(F.col("_spans").isNull(), F.col("_body")).otherwise(F.unhex(F.array_join(F.transform(pieces, shown), "")))
     return out.select(*[c for c in own if c not in (*new, "kept")], *[v.alias(k) for k, v in new.items()], kept.alias("kept"))
