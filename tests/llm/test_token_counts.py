@@ -1,10 +1,11 @@
+import math
 import random
 import re
 
 import public_tokenizers
 
 from veriframe.llm import queries
-from veriframe.llm.token_counts import BLANK_MARK, Vocabulary, count_tokens
+from veriframe.llm.token_counts import BLANK_MARK, Vocabulary, count_tokens, log_probabilities
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -59,3 +60,21 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
     check(count_tokens(docs, PATH).collect(), [r[:2] for r in rows])
     assert count_tokens(docs.limit(0), PATH).collect() == []
+
+
+def test_counts_near_the_tokenizers_own(spark, small):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    v = Vocabulary.read(PATH)
+    assert v.count([b"the", b"therefore", b"government"]).tolist() == [1, 1, 1]
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, small, "documents").collect()}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
+    want = sum(len(own.encode(w)) for ws in words.values() for w in ws)
+    got = sum(r.n_tokens for r in queries.op10_token_counts(spark, small).collect())
+    assert abs(got / want - 1) < 0.02
+
+
+def test_only_ranks_become_probabilities():
+    assert log_probabilities([-1.5, -2.0]) == [-1.5, -2.0] and log_probabilities([]) == []
+    assert abs(sum(math.exp(s) for s in log_probabilities([-2.0, -1.0, -3.0])) - 1) < 1e-12

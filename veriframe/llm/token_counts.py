@@ -5,6 +5,9 @@ tokens are those of its best segmentation into vocabulary pieces, by the sum of
 among equally good ones, that with fewer pieces. Bytes that no piece covers are one token each, at
 a score below every piece's.
 
+The scores of a BPE file are negated merge ranks, whose sums mean nothing: they prefer many pieces of
+low rank. They are read as log-probabilities by the law of Zipf and Mandelbrot, 1 / (OFFSET + rank).
+
 Different pre-tokens are sorted, which lays them out as a trie: what a word shares with the one
 before it is the same path. Best scores are computed once for each node, level by level for all
 words at once, and the number of pieces at a word's last node is kept for the word. A worker
@@ -13,6 +16,8 @@ remembers counts of up to `REMEMBERED` words; that never changes a result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +28,16 @@ BLANK_MARK = "▁".encode()
 LONG = 64  # bytes; longer pre-tokens are computed one by one
 REMEMBERED = 3_000_000
 FILTER_BITS = 20
+OFFSET = 30
+
+
+def log_probabilities(scores: list[float]) -> list[float]:
+    """Scores of a model file; different whole numbers below zero are ranks, and become log-probabilities."""
+    ranked = [-s for s in scores if s > -1e6]  # pieces without a rank have a lower score
+    if not ranked or len(set(ranked)) < len(ranked) or any(r < 0 or r != int(r) for r in ranked):
+        return scores
+    total = math.log(sum(1 / (OFFSET + r) for r in ranked))
+    return [-math.log(OFFSET - s) - total for s in scores]
 
 
 class Vocabulary:
@@ -47,10 +62,10 @@ class Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return cls({
-            model.id_to_piece(i).encode(): model.get_score(i) for i in range(model.get_piece_size())
-            if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))
-        })
+        ids = [i for i in range(model.get_piece_size())
+               if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
+        scores = log_probabilities([model.get_score(i) for i in ids])
+        return cls({model.id_to_piece(i).encode(): s for i, s in zip(ids, scores)})
 
     def count_one(self, word: bytes) -> int:
         """The same for a single pre-token of any length."""
