@@ -72,3 +72,49 @@ def test_permuted_tables_find_all_pairs(spark):
     got = fp.pairs_within(spark.createDataFrame([(t,) for t in text + text[:3]], "fp string"), 3, 5).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     assert all(r.distance == (int(r.a, 16) ^ int(r.b, 16)).bit_count() for r in got)
+
+
+def brute_classes(rows):
+    """(doc_id, fingerprint) -> smallest reachable doc_id of each row."""
+    prints = sorted({f for _, f in rows})
+    parent = {f: f for f in prints}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for i, a in enumerate(prints):
+        for b in prints[:i]:
+            if (int(a, 16) ^ int(b, 16)).bit_count() <= 3:
+                parent[root(a)] = root(b)
+    least = {}
+    for d, f in rows:
+        if d is not None:
+            least[root(f)] = min(least.get(root(f), d), d)
+    return [(d, f, least.get(root(f))) for d, f in rows]
+
+
+def test_query_finds_near_fingerprints(spark, small):
+    rows = queries.op6_fingerprints(spark, small).collect()
+    want = brute_classes([(r.doc_id, r.fingerprint) for r in rows])
+    assert [(r.doc_id, r.fingerprint, r.near_class) for r in rows] == want
+    assert any(r.near_class != r.doc_id for r in rows)
+
+
+def test_classes_with_crowded_keys(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    prints = [int.from_bytes(rng.bytes(16)) for _ in range(5)]
+    while len(prints) < 250:
+        p = prints[rng.integers(0, len(prints))]
+        for b in rng.choice(128, rng.integers(0, 6), replace=False):
+            p ^= 1 << int(b)
+        prints.append(p)
+    rows = [(None if i % 9 == 2 else i, f"{p:032x}") for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    want = sorted(brute_classes(rows), key=repr)
+    assert 5 < len({c for _, _, c in want}) < 200
+    for crowded in (20_000, 2):
+        monkeypatch.setattr(fp, "CROWDED", crowded)
+        assert sorted(((r.doc_id, r.fingerprint, r.near_class) for r in fp.with_classes(df).collect()), key=repr) == want
+    assert fp.with_classes(df.limit(0)).collect() == []

@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.arrays import CHUNK_BYTES, U64, Chunk, Rolling, counts_by, mix, pair_hash, prepare, table
+from veriframe.llm.simhash_dedup import connected
 from veriframe.session import shared_folder
 
 BITS = 128
+RADIUS = 3
+CROWDED = 20_000
 
 
 def simhash(texts: list[str]) -> np.ndarray:
@@ -180,3 +183,93 @@ def pairs_within(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     tables = prints.select("fp").distinct().withColumn("key", F.explode(F.array(*keys)))
     met = tables.alias("l").join(tables.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (distance <= radius))
     return met.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"), distance.alias("distance")).distinct()
+
+
+def _spread(fp: np.ndarray) -> np.ndarray:
+    """Component label of each of some (n, 2) fingerprints: breadth-first, each row compared once."""
+    label = np.full(len(fp), -1)
+    for seed in range(len(fp)):
+        if label[seed] >= 0:
+            continue
+        label[seed], front = seed, np.array([seed])
+        while len(front):
+            rest = np.flatnonzero(label < 0)
+            near = np.zeros(len(rest), bool)
+            for at in front:
+                near |= np.bitwise_count(fp[rest] ^ fp[at]).sum(1, dtype=np.int64) <= RADIUS
+            front = rest[near]
+            label[front] = seed
+    return label
+
+
+def near_links(prints: DataFrame) -> DataFrame:
+    """(a, b): links that connect exactly the components of different fingerprints (node, fp) at
+    most `RADIUS` bits apart.
+
+    Each of four tables is keyed by one block of 32 bits; three errors leave one block equal. A key
+    of more than `CROWDED` fingerprints is split by quarters of the other 96 bits, one of which is
+    equal again in each linked pair.
+    """
+    prepare(prints.sparkSession)
+    blocks = RADIUS + 1
+    width = BITS // 4 // blocks
+    part = lambda x, i, size: F.substring(x, i * size + 1, size)
+    half = lambda at: F.conv(F.substring("fp", at, 16), 16, -10).cast("long")
+    rest = lambda i: F.concat(F.substring("fp", 1, i * width), F.substring("fp", (i + 1) * width + 1, BITS))
+    tables = prints.select("node", "fp", F.explode(F.array(*[F.lit(i) for i in range(blocks)])).alias("block"))
+    key = F.xxhash64("block", F.substr("fp", F.col("block") * width + 1, F.lit(width)))
+    tables = tables.select("node", half(1).alias("left"), half(17).alias("right"), key.alias("key"), "block", "fp")
+    crowded = tables.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > CROWDED).select("key")
+    rows = tables.select("key", "node", "left", "right")
+    if not crowded.isEmpty():
+        others = F.when(F.col("block") == 0, rest(0))
+        for i in range(1, blocks):
+            others = others.when(F.col("block") == i, rest(i))
+        size = width * (blocks - 1) // blocks
+        split = tables.join(crowded, "key").withColumn("others", others)
+        split = split.select(F.explode(F.array(*[F.xxhash64("key", F.lit(i), part("others", i, size)) for i in range(blocks)])).alias("key"), "node", "left", "right")
+        rows = rows.join(crowded, "key", "left_anti").unionByName(split)
+
+    def compare(batches):
+        held, have = [], 0
+
+        def links(rows):
+            key = rows[:, 0]
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[cuts[1:], len(key)]
+            found = []
+            for a, b in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist()):
+                label = _spread(rows[a:b, 2:].view(U64))
+                linked = np.flatnonzero(label != np.arange(b - a))
+                found.append(np.c_[rows[a:b, 1][linked], rows[a:b, 1][label[linked]]])
+            found = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            return table(a=pa.array(found[:, 0]), b=pa.array(found[:, 1]))
+
+        for batch in batches:
+            held.append(np.stack([np.asarray(batch.column(c)) for c in ("key", "node", "left", "right")], axis=1))
+            have += batch.num_rows
+            if have >= 200_000:
+                rows_ = np.concatenate(held)
+                done = int(np.searchsorted(rows_[:, 0], rows_[-1, 0]))  # the last key may go on
+                held, have = [rows_[done:]], len(rows_) - done
+                if done:
+                    yield links(rows_[:done])
+        if have:
+            yield links(np.concatenate(held))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long").distinct()
+
+
+def with_classes(found: DataFrame) -> DataFrame:
+    """`found` (doc_id, fingerprint, ...) with near_class: the smallest doc_id among the rows whose
+    fingerprints can be reached in steps of at most `RADIUS` bits; null if none of them has one."""
+    spark = found.sparkSession
+    path = shared_folder(spark, "prints")
+    prints = found.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first"))
+    prints.withColumn("node", F.monotonically_increasing_id()).write.parquet(path)
+    prints = spark.read.parquet(path)
+    roots = connected(near_links(prints.select("node", "fp")))
+    prints = prints.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = prints.groupBy("root").agg(F.min("first").alias("near_class"))
+    return found.join(prints.join(least, "root").select(F.col("fp").alias("fingerprint"), "near_class"), "fingerprint").select(
+        *found.columns, "near_class")

@@ -78,8 +78,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' fingerprints beside those of their edited texts and of the next documents."""
-    return fingerprints.with_neighbours(table(spark, sf_dir, "documents"))
+    """All documents' fingerprints beside those of their edited texts and of the next documents, and
+    their classes of near fingerprints."""
+    return fingerprints.with_classes(fingerprints.with_neighbours(table(spark, sf_dir, "documents")))
 
 
 @query
