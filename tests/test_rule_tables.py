@@ -213,6 +213,16 @@ def test_stream_of_assigned_rules(spark, tables, users, tmp_path):
         executor.execute_stream(["as-off"])
 
 
+def test_second_set_of_assignments_sees_earlier_files(spark, tables, users, tmp_path):
+    users.coalesce(1).write.parquet(str(tmp_path / "data" / "users"))
+    assigned(tables, ("email", ["email"], "is_email(column)", None, "users", True, True),
+             ("age", ["age"], "range_check(column, 18, 30)", None, "users", True, True))
+    executor = RuleExecutor(tables)
+    for ids in (["as-email"], ["as-age"], ["as-age", "as-email"], ["as-email", "as-age"]):
+        rows = executor.execute_stream(ids).collect()
+        assert sorted((r.rule_id, r.records_checked) for r in rows) == sorted((i.removeprefix("as-"), 4) for i in ids)
+
+
 def test_incremental_batch(spark, tables, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1 + i)) for i in range(10)]
     spark.createDataFrame(rows, "n int, at timestamp").write.parquet(str(tmp_path / "data" / "log"))

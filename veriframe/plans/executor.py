@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+import json
 import logging
 import time
 import uuid
@@ -200,13 +202,15 @@ class RuleExecutor:
         if not tables:
             raise RuleError("none of the assignments is active")
         stored = []
-        for (source_id, _, name), group in tables.items():
+        for (source_id, schema_name, name), group in tables.items():
             source = create_source(group[0].source_type, group[0].connection_config, self.spark)
             if not hasattr(source, "read_stream"):
                 raise RuleError(f"tables of {group[0].source_type} cannot be read as a stream")
             rules = [rule_of(row) for row in group]
-            # The checkpoint belongs to the table, so that every file is read once for its rules.
-            folder = self.tables.path(f"streams/{source_id}/{name}")
+            # The checkpoint belongs to the table and the set of its assignments: every file is read
+            # once for each set, so that a second set sees the earlier files, too.
+            chosen = json.dumps([schema_name, sorted({row.assignment_id for row in group})])
+            folder = self.tables.path(f"streams/{source_id}/{name}/{hashlib.sha256(chosen.encode()).hexdigest()[:32]}")
             check_batches(
                 source.read_stream(name, files_per_batch), rules, f"{folder}/results",
                 f"{folder}/checkpoint", name,
