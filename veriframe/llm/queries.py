@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import decontamination, fingerprints, licenses, ngram_model, packing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
+from veriframe.llm import decontamination, fingerprints, licenses, mixing, ngram_model, packing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and tokens of all documents."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_VOCABULARY))
+
+
+@query
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that a mix of their sources takes of them."""
+    found = mixing.shares(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op13_mixing"] = mixing.oracle_sql()
