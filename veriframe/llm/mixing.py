@@ -68,10 +68,8 @@ def targets(rows: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int =
 def queue(rows: DataFrame, shares: DataFrame, repeats: int = REPEATS) -> DataFrame:
     """Every pass of every row: source columns, pass, finish, position (words before it), taken (whether the budget reaches it)."""
     order = [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size"), F.col("_row")]
-    summed = running(ranges(rows, *order), order, {"_served": "size"}, group=("source",))
-    # one row for each source
-    by_source = shares.select(F.col("source").alias("_source"), "weight", "target", "budget")
-    known = summed.join(by_source, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    known = running(ranges(rows, *order), order, {"_served": "size"}, group=("source",),
+                    lookup=shares.select("source", "weight", "target", "budget"))
     passes = known.select(
         "_row", "doc_id", "source", "size", "_key", "target", "budget", F.col("_served_all").alias("source_size"),
         "_served", "weight", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("pass"))

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import decontamination, fingerprints, licenses, mixing, ngram_model, packing, quality, simhash_dedup, suffix_dedup, token_counts, toxicity
+from veriframe.llm import (
+    alignment, decontamination, fingerprints, licenses, merkle, mixing, ngram_model, packing, quality, simhash_dedup, suffix_dedup,
+    token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -108,6 +112,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_VOCABULARY))
 
 
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash tree over all documents, and what it says of texts that have lost their line feeds."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    presented = merkle.leaf(*[F.col(f) for f in merkle.FIELDS[:-1]], text)
+    found = merkle.manifest(docs, keep={"presented": presented})
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.fold(F.col("presented"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op11_manifest"] = merkle.oracle_sql()
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers meet in every document."""
+    found = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_VOCABULARY), tokenizer_path(PIECE_VOCABULARY))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 @query
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that a mix of their sources takes of them."""
