@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,13 @@ from veriframe.llm.wordpiece_ids import _byte_characters, gather
 from veriframe.session import shared_folder
 
 CHUNK_BYTES = 1 << 20
-REMEMBERED_BYTES = 96 << 20
+REMEMBERED_BYTES = 160 << 20
+LONG = 4096  # characters; longer units are encoded alone
 HELD_PAIRS = 1 << 18
 BUCKETS = 64  # ranges of B ids; a file of pairs each
 WHITE = b" \t\n\x0b\x0c\r"
 RARE_WHITE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RARE_OR_WHITE = frozenset(WHITE.decode() + "".join(map(chr, (*range(0x1c, 0x20), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000))))
 
 
 class Tokenizers:
@@ -65,8 +68,10 @@ class Tokenizers:
         usual = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
         # white space that no piece of B has behind another character; the blank's mark may follow itself
         free = [w for w in WHITE if not any(self._inside(p, chr(w)) for i, p in enumerate(pieces) if not self.b.is_byte(i))]
+        self.length_a, self.length_b = (np.array([len(x) for x in names], np.int64) for names in (self.bytes_a, self.bytes_b))
         self.begins = np.zeros(256, bool)
         self.begins[free if usual and 0x20 in free and self.mark != self.b.unk_id() else []] = True
+        self.cuts = bool(self.begins.any())
         self.white = np.zeros(256, bool)
         self.white[list(WHITE)] = True
 
@@ -76,17 +81,46 @@ class Tokenizers:
             return any(c == "▁" and piece[i] != "▁" for i, c in enumerate(piece[1:]))
         return white in piece[1:]
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of units; the blank that B puts before a text stands for the unit's own first one."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+    def encode(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids by A, by B), (tokens of each unit by A, by B), all units in a row.
+
+        The blank that B puts before a text stands for the unit's own first one.
+        """
         b = self.b.encode([u[1:] if u[:1] == " " else u for u in units], num_threads=1)
-        for i, u in enumerate(units):
-            if u[:1] != " ":
+        for i in [i for i, u in enumerate(units) if u[:1] != " " or len(u) == 1]:
+            if len(units[i]) == 1 and units[i] == " ":
+                b[i] = [self.mark]  # B gives nothing for nothing
+            else:
                 # begins with other white space, which never joins the blank before it
                 b[i] = b[i][1:] if b[i][:1] == [self.mark] else [self.b.unk_id()]
-            elif len(u) == 1:
-                b[i] = [self.mark]  # B gives nothing for nothing
-        return a, b
+        ids_a, sizes_a = self._encode_a(units)
+        sizes_b = np.fromiter(map(len, b), np.int64, len(b))
+        return [ids_a, np.fromiter(chain.from_iterable(b), np.int64, int(sizes_b.sum()))], [sizes_a, sizes_b]
+
+    def _encode_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Units that begin with white space and end with another character have the same tokens in a row as alone."""
+        n = len(units)
+        plain = [len(u) < LONG and self.cuts and ord(u[0]) < 256 and self.begins[ord(u[0])] and u[-1] not in RARE_OR_WHITE
+                 and (u.isascii() or not RARE_WHITE.search(u)) for u in units]
+        at = np.flatnonzero(plain)
+        alone = np.flatnonzero(~np.array(plain, bool))
+        row = [u for u, x in zip(units, plain) if x]
+        ids = np.array(self.a.encode_batch_fast(["".join(row)], add_special_tokens=False)[0].ids if row else [], np.int64)
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in row], dtype=np.int64)
+        stops = np.searchsorted(np.cumsum(self.length_a[ids]), ends, "right")  # tokens up to the end of each unit
+        others = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast([units[i] for i in alone], add_special_tokens=False)]
+        sizes = np.zeros(n, np.int64)
+        sizes[at] = np.diff(stops, prepend=0)
+        sizes[alone] = [len(x) for x in others]
+        if not len(alone):
+            return ids, sizes
+        flat = np.zeros(int(sizes.sum()), np.int64)
+        own = np.zeros(n, bool)
+        own[at] = True
+        of_row = np.repeat(own, sizes)
+        flat[of_row] = ids[:int(of_row.sum())]
+        flat[~of_row] = np.concatenate(others)
+        return flat, sizes
 
 
 class Units:
@@ -108,16 +142,26 @@ class Units:
 
     def learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
         t = self.tokenizers
-        ids_a, ids_b = t.encode([u.decode() for u in units])
-        sizes = np.array([len(u) for u in units], np.int64)
-        right = np.array([b"".join([t.bytes_a[i] for i in a]) == u and b"".join([t.bytes_b[i] for i in b]) == u
-                          for a, b, u in zip(ids_a, ids_b, units)], bool)
+        ids, counts = t.encode([u.decode() for u in units])
+        lengths = [t.length_a[ids[0]], t.length_b[ids[1]]]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        right = np.ones(len(units), bool)
+        for names, i, n, length in zip((t.bytes_a, t.bytes_b), ids, counts, lengths):
+            # as long as its tokens, and then, if not all bytes of all units are right, byte by byte
+            right &= np.bincount(np.repeat(np.arange(len(units)), n), weights=length, minlength=len(units)) == sizes
+            texts = [names[k] for k in i.tolist()]
+            if not right.all() or b"".join(texts) != b"".join(units):
+                cuts = np.cumsum(n).tolist()
+                right &= np.array([b"".join(texts[x:y]) == u for x, y, u in zip([0, *cuts], cuts, units)], bool)
         good = np.flatnonzero(right)
-        a = align([ids_a[i] for i in good], [ids_b[i] for i in good], t, sizes[good])
+        if len(good) < len(units):
+            keep = [np.repeat(right, n) for n in counts]
+            ids, lengths = [i[k] for i, k in zip(ids, keep)], [x[k] for x, k in zip(lengths, keep)]
+        a = align(ids, lengths, [n[good] for n in counts])
         numbers = np.zeros((len(units), 5), np.int64)
         numbers[:, 4] = right
         numbers[good, :4] = a["numbers"]
-        groups = np.full(len(units), b"", object)
+        groups = np.full(len(units), "", object)
         groups[good] = a["groups"]
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
@@ -128,7 +172,7 @@ class Units:
         self.numbers = np.concatenate([self.numbers, numbers])
         self.groups = np.concatenate([self.groups, groups])
         self.pairs = np.concatenate([self.pairs, a["pairs"]])
-        self.used += int(sum(map(len, groups)) + 8 * len(a["pairs"]) + 160 * len(units))
+        self.used += int(a["bytes"] + 8 * len(a["pairs"]) + 200 * len(units))
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the units data[start:end]."""
@@ -159,14 +203,14 @@ class Units:
         return have
 
 
-def align(ids_a: list[list[int]], ids_b: list[list[int]], t: Tokenizers, sizes: np.ndarray) -> dict:
-    """Groups and links of units, all in a row: a unit's tokens of both kinds cover its bytes."""
-    n = len(ids_a)
+def align(flat: list[np.ndarray], length: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+    """Groups and links of units, all in a row: ids of A and B, their bytes, and how many each unit has.
+
+    A unit's tokens of both kinds cover its bytes.
+    """
+    n = len(counts[0])
     if not n:
-        return {"numbers": np.zeros((0, 4), np.int64), "groups": np.zeros(0, object), "pairs": np.zeros(0, U64)}
-    counts = [np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b)]
-    flat = [np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b)]
-    length = [np.array([len(names[i]) for i in f.tolist()], np.int64) for names, f in zip((t.bytes_a, t.bytes_b), flat)]
+        return {"numbers": np.zeros((0, 4), np.int64), "groups": np.zeros(0, object), "pairs": np.zeros(0, U64), "bytes": 0}
     end = [np.cumsum(x) for x in length]
     start = [e - x for e, x in zip(end, length)]
     # all intervals by start, of both kinds; a group breaks where a start reaches the running maximum of ends
@@ -187,16 +231,20 @@ def align(ids_a: list[list[int]], ids_b: list[list[int]], t: Tokenizers, sizes:
     unit_of_group = unit_a[np.flatnonzero(np.r_[True, of_a[1:] != of_a[:-1]])]
     numbers = np.stack([counts[0], counts[1], np.bincount(unit_of_group, minlength=n),
                         np.bincount(unit_a, weights=links, minlength=n).astype(np.int64)], 1)
-    sides = []
-    for ids, of in ((flat[0], of_a), (flat[1], of_b)):
-        last = np.r_[of[1:] != of[:-1], True]
-        text = "".join([f"{i}\n" if x else f"{i}," for i, x in zip(ids.tolist(), last.tolist())])
-        sides.append(text.split("\n")[:-1])
-    texts = [f"{a}|{b}" for a, b in zip(*sides)]
-    cuts = np.cumsum(numbers[:, 2]).tolist()
-    groups = np.full(n, b"", object)
-    groups[:] = [";".join(texts[i:j]).encode() for i, j in zip([0, *cuts[:-1]], cuts)]
-    return {"numbers": numbers, "groups": groups, "pairs": pairs}
+    # every id with the sign behind it, A's before B's in each group
+    last = [np.r_[of[1:] != of[:-1], True] for of in (of_a, of_b)]
+    signs = np.concatenate([np.where(last[0], 1, 0), np.where(last[1], 2, 0)])
+    ids = np.concatenate(flat)
+    placed = np.lexsort((kind, group))  # stable: ids stay in order
+    distinct, number = np.unique(ids * 3 + signs, return_inverse=True)
+    words = np.array([f"{x // 3}{',|;'[x % 3]}" for x in distinct.tolist()], object)
+    sizes = np.array([len(w) for w in words], np.int64)[number]
+    text = "".join(words[number[placed]].tolist())
+    unit = np.concatenate([unit_a, np.repeat(np.arange(n), counts[1])])
+    cuts = np.cumsum(np.bincount(unit, weights=sizes, minlength=n).astype(np.int64)).tolist()
+    groups = np.empty(n, object)
+    groups[:] = [text[i:j - 1] for i, j in zip([0, *cuts], cuts)]
+    return {"numbers": numbers, "groups": groups, "pairs": pairs, "bytes": len(text)}
 
 
 class Counts:
@@ -343,7 +391,7 @@ def aligned(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, doc_id: str = "
                 groups = units.groups[number].tolist()
                 yield table(
                     doc_id=rows.column("doc_id"), **dict(zip(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"), sums)),
-                    groups=pa.array([b";".join(groups[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()).cast(pa.string()))
+                    groups=pa.array([";".join(groups[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.string()))
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
