@@ -16,6 +16,7 @@ from veriframe.operators.results import Run, finish, spread_counts
 from veriframe.operators.row_checks import check_rows, count_violations, resolve
 from veriframe.operators.samples import split_rows
 from veriframe.operators.skew import spread_join
+from veriframe.operators.topk import _hashable
 from veriframe.plans.rules import Rule
 
 
@@ -142,9 +143,18 @@ def repeated_keys(
     )
 
 
-def first_rows(stream: DataFrame, keys: Sequence[str], time_column: str, late_by: str) -> DataFrame:
-    """The first row of each key; later ones are dropped while the watermark remembers the key."""
-    return stream.withWatermark(time_column, late_by).dropDuplicatesWithinWatermark(list(keys))
+def first_rows(stream: DataFrame, keys: Sequence[str], time_column: str, late_by: str, salts: int = 1) -> DataFrame:
+    """The first row of each key; later ones are dropped while the watermark remembers the key.
+
+    With `salts` a key's rows are first dealt to that many groups by the rows themselves, of which each
+    keeps its first one; what is left of a hot key is at most one row for each group. The state
+    holds up to `salts` rows more for each key.
+    """
+    timed = stream.withWatermark(time_column, late_by)
+    if salts > 1:
+        group = F.pmod(F.xxhash64(*_hashable(stream)), F.lit(salts))
+        timed = timed.withColumn("_salt", group).dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def mark_orphans(
@@ -185,11 +195,3 @@ def mark_orphans_per_batch(
 
     return each_batch(stream, marked, path, checkpoint)
 
-
-def late_row_count(query: StreamingQuery) -> int:
-    """Rows the query dropped because they were older than the watermark."""
-    return sum(
-        int(operator["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for operator in progress["stateOperators"]
-    )
