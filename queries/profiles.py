@@ -8,7 +8,9 @@ from queries.base import query, table
 from queries.row_rules import LINEITEM_RULES
 from queries.base import rules_from, run_of
 from veriframe.operators import profile as P
+from veriframe.operators import sketches as S
 from veriframe.operators.row_checks import check_rows
+from veriframe.session import shared_folder
 from veriframe.sources.connectors import describe
 
 
@@ -19,7 +21,7 @@ def column_sql(name, kind, data_type, source):
     null = "CAST(NULL AS DOUBLE)"
     return f"""SELECT '{name}' AS column_name, '{data_type}' AS data_type, count(*) AS row_count,
  count(*) FILTER (WHERE {name} IS NULL) AS null_count,
- {'0' if kind == 'other' else f'count(DISTINCT {name})'} AS distinct_count,
+ count(DISTINCT {name}) AS distinct_count,
  {f'min({d})' if number else null} AS min_value, {f'max({d})' if number else null} AS max_value,
  {f'round(avg({d}), 4)' if number else null} AS mean_value,
  {f'round(stddev_samp({d}), 4)' if number else null} AS stddev_value,
@@ -58,10 +60,56 @@ for _name in COLUMNS:
     _profile(_name)
 
 
-@query("profile_approx")
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+                "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query("profile_approx", "\nUNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+ {"NULL::DOUBLE" if c in LINE_COLUMNS[8:] else f"min({c})::DOUBLE"} AS min_value, {"NULL::DOUBLE" if c in LINE_COLUMNS[8:] else f"max({c})::DOUBLE"} AS max_value,
+ count(DISTINCT {c}) AS distinct_count, true AS distinct_within_5_percent FROM lineitem""" for c in LINE_COLUMNS))
 def profile_approx(spark, sf_dir):
-    """Profile of lineitem in a single scan, with approximate distinct counts and quartiles."""
-    return P.profile(table(spark, sf_dir, "lineitem"))
+    """Profile of lineitem with approximate distinct counts, and whether they are near the exact ones."""
+    df = table(spark, sf_dir, "lineitem").select(*LINE_COLUMNS)
+    exact = S.distinct_values(df).withColumnRenamed("distinct_count", "exact")
+    rows = P.profile(df).join(exact, "column_name")
+    near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")
+    return rows.select("column_name", "row_count", "null_count", "min_value", "max_value",
+                       F.col("exact").alias("distinct_count"), near.alias("distinct_within_5_percent"))
+
+
+MERGED = {"lineitem": ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_linestatus"],
+          "embeddings": ["vec_id", "embedding"]}
+MERGED_NUMBERS = ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "vec_id")
+
+
+@query("profile_merged", "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
+ {f"min({c})::DOUBLE" if c in MERGED_NUMBERS else "NULL::DOUBLE"} AS min_value, {f"max({c})::DOUBLE" if c in MERGED_NUMBERS else "NULL::DOUBLE"} AS max_value,
+ count(DISTINCT {c}) AS distinct_count, true AS distinct_within_5_percent, {"true" if c in MERGED_NUMBERS else "NULL::BOOLEAN"} AS quartiles_within_2_percent
+ FROM {t}""" for t, columns in MERGED.items() for c in columns))
+def profile_merged(spark, sf_dir):
+    """Sketches stored part by part and merged; a part that comes again replaces itself. Exact values tell how near they are."""
+    frames = []
+    for name, columns in MERGED.items():
+        df = table(spark, sf_dir, name).select(*columns)
+        parts = df.withColumn("part", F.col(columns[0]) % 5)
+        path = shared_folder(spark, "sketches")
+        S.store(parts.where("part < 3"), path, "part", columns)
+        S.store(parts.where("part >= 2"), path, "part", columns)
+        rows = S.profile_stored(spark, path).join(S.distinct_values(df).withColumnRenamed("distinct_count", "exact"), "column_name")
+        near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")
+        numbers = [c for c in columns if c in MERGED_NUMBERS]
+        found = {r.column_name: r.quantiles for r in rows.where("quantiles IS NOT NULL").collect()}
+        shares = df.agg(*[
+            (F.greatest(*[F.abs(F.count_if(F.col(c) <= q) / F.count(F.lit(1)) - p) for q, p in zip(found[c], S.QUANTILES)]) <= 0.02)
+            | (F.approx_count_distinct(c) < 100) for c in numbers]).first()
+        quartiles = F.create_map(*[F.lit(x) for c, ok in zip(numbers, shares) for x in (c, bool(ok))])
+        frames.append(rows.select(
+            F.lit(name).alias("table_name"), "column_name", "row_count", "null_count", "min_value", "max_value",
+            F.col("exact").alias("distinct_count"), near.alias("distinct_within_5_percent"),
+            F.try_element_at(quartiles, F.col("column_name")).alias("quartiles_within_2_percent")))
+    return frames[0].unionByName(frames[1])
 
 
 @query("profile_quartiles", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veriframe.functions.ruletext import parse_rule_expression
 from veriframe.operators import profile as P
+from veriframe.operators import selection
 
 
 def test_profile_against_brute_force(spark):
@@ -69,8 +70,9 @@ def test_outliers(spark):
 
 
 def test_exact_quantiles(spark, monkeypatch):
-    """Small brackets force several passes; a third of all rows share one value."""
-    monkeypatch.setattr(P, "BRACKET_ROWS", 50)
+    """Few buckets force several passes; a third of all rows share one value."""
+    monkeypatch.setattr(selection, "BUCKETS", 8)
+    monkeypatch.setattr(selection, "OCTAVE_PARTS", 1)
     rng = random.Random(3)
     data = [(7.0 if rng.random() < 1 / 3 else round(rng.uniform(-100, 100), 3), rng.choice([1, 2, None]), None)
             for _ in range(30000)]
@@ -84,6 +86,34 @@ def test_exact_quantiles(spark, monkeypatch):
     assert found["none"] == [None] * 7
 
 
+def test_quantiles_of_odd_numbers(spark):
+    """Both zeros, subnormal, huge and infinite numbers, neighbours, NaN and nulls."""
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"),
+           1.0, 1.0000000000000002, 0.9999999999999999, -1.0, -1.0000000000000002, 1e-300, 3.0, 2.0**53, 2.0**53 + 2]
+    data = [(x,) for x in odd * 3] + [(float("nan"),), (None,)] * 4
+    df = spark.createDataFrame(data, "x double").repartition(3)
+    values = sorted(odd * 3)
+    probabilities = [i / len(values) for i in range(len(values) + 1)]
+    want = [values[max(1, math.ceil(len(values) * p)) - 1] for p in probabilities]
+    assert P.quantiles(df, ["x"], probabilities)["x"] == want
+    assert P.quantiles(df.where("x IS NULL"), ["x"], [0.5]) == {"x": [None]}
+    assert P.quantiles(df, ["x"], []) == {"x": []}
+
+
+def test_quantiles_take_few_scans_and_sort_nothing(spark, monkeypatch):
+    passes = []
+    real = selection._histogram
+    monkeypatch.setattr(selection, "_histogram", lambda df, brackets: passes.append(real(df, brackets)) or passes[-1])
+    df = spark.range(400_000).select(F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("a"), F.randn(5).alias("b"),
+                                     F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("c"))
+    found = P.quantiles(df, ["a", "b", "c"], [0.25, 0.5, 0.75])
+    assert len(passes) <= 4
+    plan = passes[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and plan.count("Exchange") == 1 and "partial_count" in plan
+    ids = sorted(7 if i % 3 == 0 else i for i in range(400_000))
+    assert found["c"] == [ids[400_000 * i // 4 - 1] for i in (1, 2, 3)]
+
+
 def test_outliers_iqr_query(spark, small):
     from queries import load_all
 

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veriframe.functions.names import named
+from veriframe.operators.selection import number, quantiles
+from veriframe.operators.sketches import distinct_values, value_digest
 from veriframe.operators.topk import top_per_group
 
 QUANTILES = (0.25, 0.5, 0.75)
 QUANTILE_ACCURACY = 10_000
 MAX_LISTED_VALUES = 20
 COLUMNS_PER_SCAN = 10
-BRACKET_ROWS = 100_000
-MAX_PASSES = 6
+DISTINCT_ERROR = 0.01  # relative, one standard deviation
 
 
 def _kind(data_type: T.DataType) -> str:
@@ -62,12 +61,12 @@ def _moments(column: str, data_type: T.DataType) -> Column:
 def _sketches(column: str, data_type: T.DataType, distinct: bool) -> Column:
     """Statistics with a buffer of their own: distinct values, quartiles, first and last text."""
     c, kind = named(column), _kind(data_type)
-    countable = distinct and kind != "other"
     quartiles = F.percentile_approx(c.cast("double"), list(QUANTILES), QUANTILE_ACCURACY)
     text = c.cast("string")
     return F.struct(
         F.lit(column).alias("column_name"),
-        (F.approx_count_distinct(c) if countable else _null("bigint")).alias("distinct_count"),
+        (F.approx_count_distinct(value_digest(column, data_type) if kind == "other" else c, DISTINCT_ERROR) if distinct
+         else _null("bigint")).alias("distinct_count"),
         (quartiles if kind == "number" else _null("array<double>")).alias("quantiles"),
         (F.min(text) if kind == "text" else _null("string")).alias("min_text"),
         (F.max(text) if kind == "text" else _null("string")).alias("max_text"),
@@ -92,8 +91,8 @@ def profile(
     """One row per column: counts, nulls, distinct values, bounds, moments, quartiles, lengths.
 
     Counts and moments take one compiled scan, sketches another: together they would run
-    uncompiled. With `distinct="exact"` distinct counts come from grouping (column, value) pairs,
-    pre-aggregated before the shuffle.
+    uncompiled. With `distinct="exact"` distinct counts come from grouping digests of values of any
+    type, pre-aggregated before the shuffle.
     """
     wanted = list(columns or df.columns)
     rows = _per_column(df, wanted, _moments).join(
@@ -101,8 +100,7 @@ def profile(
     )
     if distinct != "exact":
         return rows
-    exact = distinct_counts(value_counts(df, wanted))
-    return rows.drop("distinct_count").join(exact, "column_name", "left").fillna(0, ["distinct_count"])
+    return rows.drop("distinct_count").join(distinct_values(df, wanted), "column_name")
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -204,104 +202,6 @@ def suggest_rules(df: DataFrame, max_values: int = MAX_LISTED_VALUES) -> DataFra
     )
 
 
-@dataclass
-class _Bracket:
-    """Bounds that surely hold the value of a rank, and the rank among the rows within them."""
-
-    column: str
-    probability: float
-    low: float
-    high: float
-    rank: int
-    rows: int
-    new_low: float = 0.0
-    new_high: float = 0.0
-
-    def holds(self, c: Column) -> Column:
-        return c.between(F.lit(self.low), F.lit(self.high))
-
-
-def quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
-) -> dict[str, list[float | None]]:
-    """Exact quantiles: the value at rank ceil(p * n) of the numbers of each column.
-
-    Approximate quantiles bracket each value ever more closely, a few numbers per pass reaching
-    the driver. Only the distinct values of the last, small bracket are put in order.
-    """
-    bounds = df.agg(*[x.alias(f"{name}{i}") for i, c in enumerate(columns) for name, x in (
-        ("n", F.count(_number(c))), ("low", F.min(_number(c))), ("high", F.max(_number(c))))]).first()
-    found: dict[tuple, float | None] = {}
-    brackets = []
-    for i, c in enumerate(columns):
-        n = bounds[f"n{i}"]
-        for p in probabilities:
-            found[c, p] = None
-            if n:
-                rank = max(1, math.ceil(n * p))
-                brackets.append(_Bracket(c, p, bounds[f"low{i}"], bounds[f"high{i}"], rank, n))
-    for _ in range(MAX_PASSES):
-        wide = [b for b in brackets if b.rows > BRACKET_ROWS and b.low < b.high]
-        if not wide:
-            break
-        _narrow(df, wide)
-    done = {(b.column, b.probability): b.low for b in brackets if b.low == b.high}
-    rest = [b for b in brackets if b.low < b.high]
-    found.update({**done, **_ranked(df, rest)})
-    return {c: [found[c, p] for p in probabilities] for c in columns}
-
-
-def _number(column: str) -> Column:
-    """The column as a number; NaN is not one."""
-    number = named(column).cast("double")
-    return F.when(~F.isnan(number), number)
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Tighten brackets to the values next to their rank, with room for the error of the sketch."""
-    room = 10.0 / QUANTILE_ACCURACY
-    ends = df.agg(*[
-        F.percentile_approx(
-            F.when(b.holds(_number(b.column)), _number(b.column)),
-            [max(0.0, b.rank / b.rows - room), min(1.0, b.rank / b.rows + room)],
-            QUANTILE_ACCURACY,
-        ).alias(f"b{i}")
-        for i, b in enumerate(brackets)
-    ]).first()
-    for i, b in enumerate(brackets):
-        # At the ends of a bracket its own bounds are surer than the sketch.
-        at = b.rank / b.rows
-        b.new_low = b.low if at <= room else ends[f"b{i}"][0]
-        b.new_high = b.high if at >= 1 - room else ends[f"b{i}"][1]
-    counts = df.agg(*[x for i, b in enumerate(brackets) for x in (
-        F.count_if(b.holds(_number(b.column)) & (_number(b.column) < b.new_low)).alias(f"below{i}"),
-        F.count_if(_number(b.column).between(b.new_low, b.new_high)).alias(f"inside{i}"),
-    )]).first()
-    for i, b in enumerate(brackets):
-        rank, rows = b.rank - counts[f"below{i}"], counts[f"inside{i}"]
-        if 1 <= rank <= rows:
-            b.low, b.high, b.rank, b.rows = b.new_low, b.new_high, rank, rows
-
-
-def _ranked(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple, float]:
-    """The value of each bracket's rank, from its distinct values and how often they occur."""
-    if not brackets:
-        return {}
-    held = F.array(*[
-        F.when(b.holds(_number(b.column)), F.struct(F.lit(i).alias("bracket"), _number(b.column).alias("value")))
-        for i, b in enumerate(brackets)
-    ])
-    counts = (
-        df.select(F.inline(F.array_compact(held))).groupBy("bracket", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    up_to = Window.partitionBy("bracket").orderBy("value")
-    rank = F.element_at(F.array(*[F.lit(b.rank) for b in brackets]), F.col("bracket") + 1)
-    at_rank = counts.withColumn("up_to", F.sum("copies").over(up_to)).where(F.col("up_to") >= rank)
-    rows = at_rank.groupBy("bracket").agg(F.min("value").alias("value")).collect()
-    return {(brackets[r.bracket].column, brackets[r.bracket].probability): r.value for r in rows}
-
-
 def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", k: float | None = None):
     """{column: (low, high)} of usual values: quartiles +- k*IQR, or mean +- k*stddev.
 
@@ -312,7 +212,7 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr", k
         pairs = quantiles(df, columns, [0.25, 0.75])
     else:
         pairs = df.agg(*[
-            F.array(F.avg(_number(c)), F.stddev_samp(_number(c))).alias(c) for c in columns
+            F.array(F.avg(number(c)), F.stddev_samp(number(c))).alias(c) for c in columns
         ]).first().asDict()
     bounds = {}
     for c, (a, b) in pairs.items():
