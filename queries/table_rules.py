@@ -171,6 +171,25 @@ def xtable_ship_after_order(spark, sf_dir):
         ["l_orderkey"], ["o_orderkey"], rules_from(CROSS), run_of("lineitem")))
 
 
+SAME_NAMES = [
+    ("x_date_after", ["l_shipdate"], "consistency", "high", 50.0, "left.l_shipdate >= right.l_shipdate", "l.l_shipdate >= r.l_shipdate"),
+    ("x_line_below_order", ["l_extendedprice"], "consistency", "medium", 10.0, "left.l_extendedprice <= right.l_extendedprice",
+     "l.l_extendedprice <= r.l_extendedprice"),
+    ("x_tax_kept", ["l_tax"], "custom", "low", None, "l_tax < 0.05 OR right.l_extendedprice > 100000", "l_tax < 0.05 OR r.l_extendedprice > 100000"),
+]
+
+
+@query("xtable_same_names", result_sql("\nUNION ALL ".join(counts_sql(
+    "lineitem l JOIN (SELECT o_orderkey AS l_orderkey, o_orderdate AS l_shipdate, o_totalprice AS l_extendedprice FROM orders) r USING (l_orderkey)", s)
+    for s in SAME_NAMES), "lineitem"))
+def xtable_same_names(spark, sf_dir):
+    """Order lines against orders whose columns have the same names, told apart by their side."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("l_shipdate"), F.col("o_totalprice").alias("l_extendedprice"))
+    return report(check_cross_table(
+        table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], ["l_orderkey"], rules_from(SAME_NAMES), run_of("lineitem")))
+
+
 @query("reconcile_order_total", integrity_sql(
     ("x_order_total", "integrity", "high", 99.0),
     """SELECT count(*) AS checked,
@@ -210,22 +229,18 @@ def freshness_events(spark, sf_dir):
 
 
 @query("duplicate_lineitems", """
-SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem
-WHERE (l_orderkey, l_linenumber) IN
+SELECT * FROM lineitem WHERE (l_orderkey, l_linenumber) IN
  (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
 def duplicate_lineitems(spark, sf_dir):
     """All rows whose key occurs more than once."""
-    df = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
-    return duplicate_rows(df, ["l_orderkey", "l_linenumber"])
+    return duplicate_rows(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("orphan_documents", """
-SELECT doc_id, lang, source, n_chars FROM documents d
-WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+SELECT * FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def orphan_documents(spark, sf_dir):
     """All rows whose key has no parent."""
-    df = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    df = table(spark, sf_dir, "documents")
     return orphan_rows(df, table(spark, sf_dir, "labels"), ["doc_id"], ["doc_id"])
 
 

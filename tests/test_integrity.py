@@ -108,6 +108,73 @@ def test_composite_frequent_keys(spark):
     assert spread_join(left, right, ["a", "b"], "inner", frequent).count() == 301
 
 
+def partition_sizes(spark, make):
+    """Rows in each task of a join that may not broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        return sorted(r["count"] for r in make().groupBy(F.spark_partition_id().alias("p")).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_sorted_rows_use_all_groups(spark):
+    """All rows of the hot key lie in one partition; the group does not come from the partition."""
+    hot = spark.range(60_000).select(F.lit(7).alias("a"), F.col("id").alias("row")).coalesce(1)
+    right = spark.createDataFrame([(7, "x")], "a int, w string")
+    sizes = partition_sizes(spark, lambda: spread_join(hot, right, ["a"], "inner", frequent_keys(hot, ["a"], fraction=1.0)))
+    assert sum(sizes) == 60_000 and len(sizes) >= 10 and sizes[-1] < 20_000
+
+
+def test_hot_keys_of_the_right_side_are_spread(spark):
+    left = spark.createDataFrame([(7, 0), (7, 1), (8, 2), (9, 3)], "a int, l int")
+    right = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 8).otherwise(7).alias("a"), F.col("id").alias("r"))
+    found = spread_join(left, right, ["a"], "inner", [], right_frequent=frequent_keys(right, ["a"], fraction=1.0))
+    assert found.count() == 40_000 * 2 + 20_000 and found.dropDuplicates().count() == 100_000
+    sizes = partition_sizes(spark, lambda: spread_join(left, right, ["a"], "inner", [], right_frequent=frequent_keys(right, ["a"], fraction=1.0)))
+    assert sum(sizes) == 100_000 and sizes[-1] < 40_000
+
+
+def test_keys_hot_on_both_sides_meet_once(spark, monkeypatch):
+    from veriframe.operators import skew
+
+    monkeypatch.setattr(skew, "MIN_SAMPLED_COPIES", 1)
+    left = spark.createDataFrame([(i % 3, i) for i in range(900)] + [(None, -1)], "a int, l int")
+    right = spark.createDataFrame([(i % 4, i) for i in range(400)] + [(None, -1)], "a int, r int")
+    both = spread_join(left, right, ["a"])  # sampled on both sides
+    given = spread_join(left, right, ["a"], "inner", frequent_keys(left, ["a"], fraction=1.0), 5, frequent_keys(right, ["a"], fraction=1.0))
+    want = sorted(map(tuple, left.join(right, "a").select("a", "l", "r").collect()))
+    assert len(want) == 90_000
+    for df in (both, given):
+        assert sorted(map(tuple, df.select("a", "l", "r").collect())) == want
+    with pytest.raises(ValueError):
+        spread_join(left, right, ["a"], "left", [], right_frequent=frequent_keys(right, ["a"], fraction=1.0))
+
+
+def test_groups_follow_the_share_of_a_key(spark):
+    from veriframe.operators.skew import SALT_CLASSES, _classes, key_shares
+
+    df = spark.createDataFrame([(1,)] * 8000 + [(2,)] * 1500 + [(3,)] * 500, "a int")
+    shares = key_shares(df, ["a"], fraction=1.0)
+    assert [(r.a, round(s, 2)) for r, s in shares] == [(1, 0.8), (2, 0.15), (3, 0.05)]
+    groups = {r.a: n for n, rows in _classes(df, shares) for r in rows}  # four tasks
+    assert groups == {1: 8, 2: 2, 3: 2} and set(groups.values()) <= set(SALT_CLASSES)
+
+
+def test_columns_of_equal_names_are_told_apart(spark):
+    left = spark.createDataFrame([(1, 5, "a"), (2, 1, "b"), (3, 9, "c")], "id int, x int, s string")
+    right = spark.createDataFrame([(1, 6, "a"), (2, 0, "z"), (4, 1, "q")], "id int, x int, t string")
+    rules = [Rule("le", "left.x <= right.x", ("x",), rule_type="cross_table"), Rule("same", "s = t", ("s",), rule_type="cross_table"),
+             Rule("which", "x > 1", ("x",), rule_type="cross_table")]
+    for right_side, key in ((right, "id"), (right.withColumnRenamed("id", "k").withColumn("id", F.lit(0)), "k")):
+        rows = {r.rule_id: r for r in check_cross_table(left, right_side, ["id"], [key], rules).collect()}
+        assert [rows[n].records_failed for n in ("le", "same")] == [1, 1] and rows["le"].records_checked == 2
+        assert rows["which"].status == "error" and "AMBIGUOUS_REFERENCE" in rows["which"].error_message
+
+
 def test_top_per_group_with_a_hot_group(spark):
     df = spark.range(20000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("g"), F.col("id").alias("v"))

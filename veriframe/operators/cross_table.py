@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from veriframe.functions.names import named
 from veriframe.operators.results import Run, error_rows, finish, spread_counts
 from veriframe.operators.row_checks import count_violations, resolve
 from veriframe.operators.skew import spread_join
@@ -20,11 +21,20 @@ def joined(
     right_keys: Sequence[str],
     frequent: Sequence[Row] | None = None,
 ) -> DataFrame:
-    """Rows of both tables with equal keys, all columns of both, a hot left key spread out."""
-    for key, other in zip(left_keys, right_keys, strict=True):
-        if key != other:
-            right = right.withColumn(key, F.col(other))
-    return spread_join(left, right, left_keys, "inner", frequent)
+    """Rows of both tables with equal keys, all columns of both, hot keys of either side spread out.
+
+    Columns of the same name are told apart as `left.name` and `right.name`; a key of the same name
+    on both sides is one column.
+    """
+    on = []
+    left, right = left.alias("left"), right.alias("right")
+    for i, (key, other) in enumerate(zip(left_keys, right_keys, strict=True)):
+        if key == other:
+            on.append(key)
+        else:
+            on.append(f"_key{i}")
+            left, right = left.withColumn(on[-1], named(key)), right.withColumn(on[-1], named(other))
+    return spread_join(left, right, on, "inner", frequent).drop(*[k for k in on if k.startswith("_key")])
 
 
 def check_cross_table(
@@ -67,8 +77,8 @@ def check_totals(
     names = [f"k{i}" for i in range(len(left_keys))]
 
     def totals(df, keys, value, name):
-        named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
-        return df.groupBy(*named).agg(F.sum(value).alias(name))
+        renamed = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+        return df.groupBy(*renamed).agg(F.sum(value).alias(name))
 
     both = totals(left, left_keys, left_value, "left_total").join(
         totals(right, right_keys, right_value, "right_total"), names, "full"
