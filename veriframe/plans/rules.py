@@ -43,6 +43,9 @@ TABLE_SCHEMAS = {
         rule_logic string, changed_by string, change_reason string, changed_at timestamp""",
     "data_lineage": """run_id string, table_name string, rules_applied array<string>,
         snapshot_location string, data_version string, created_at timestamp""",
+    "file_counts": """source_id string, schema_name string, table_name string, file_path string,
+        modified timestamp, assignment_id string, rule_version string, records_checked bigint,
+        records_failed bigint""",
     "quality_scores": """table_name string, score_date date, overall_score double,
         completeness_score double, accuracy_score double, consistency_score double,
         integrity_score double, timeliness_score double, total_rules_applied bigint,

@@ -123,6 +123,23 @@ class FileSource(Source):
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
         return reader.schema(self._table(table).schema).load(self.path(table))
 
+    def list_files(self, table: str) -> DataFrame:
+        """(path, file_path, modified) of the table's files; a listing, no content is read."""
+        found = self.spark.read.format("binaryFile").options(**self._options()).option("recursiveFileLookup", True).load(self.path(table))
+        return found.select("path", "_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified"))
+
+    def read_files(self, table: str, paths: Sequence[str]) -> DataFrame:
+        """Some files of a table, with the types the table has now, and _file_path and _file_modified of each row's file."""
+        whole = self._table(table)
+        reader = self.spark.read.format(self.format).options(**self._options()).schema(whole.schema)
+        if self.format == "csv":
+            reader = reader.option("header", True)
+        if not any(path.endswith(self.path(table)) for path in paths):
+            reader = reader.option("basePath", self.path(table))
+        df = reader.load(list(paths))
+        of_file = df.metadataColumn("_metadata")
+        return df.select("*", of_file["file_path"].alias("_file_path"), of_file["file_modification_time"].alias("_file_modified"))
+
     def _table(self, table: str, schema: str | None = None) -> DataFrame:
         reader = self.spark.read.format(self.format).options(**self._options())
         if self.format == "csv":
@@ -175,7 +192,7 @@ class CatalogSource(Source):
             writer = writer.option("path", f"{self.config['path'].rstrip('/')}/{destination}")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.saveAsTable(destination)
+        writer.saveAsTable(destination if "." in destination else self.name(destination))
 
 
 class JdbcSource(Source):
