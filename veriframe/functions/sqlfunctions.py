@@ -40,6 +40,14 @@ SQL_FUNCTIONS = {
     "is_in_list": ("c STRING, value_list ARRAY<STRING>", "array_contains(value_list, c)"),
     "is_not_in_list": ("c STRING, value_list ARRAY<STRING>", "NOT array_contains(value_list, c)"),
 }
+# Comparisons of two values: numbers as numbers, everything else as text. In rules, where types are known,
+# values are compared as what they are.
+_AS_NUMBERS = "try_cast(a AS DOUBLE) IS NOT NULL AND try_cast(b AS DOUBLE) IS NOT NULL"
+for _name, _operator in (("equals", "="), ("not_equals", "<>"), ("greater_than", ">"), ("less_than", "<")):
+    SQL_FUNCTIONS[_name] = (
+        "a STRING, b STRING",
+        f"CASE WHEN {_AS_NUMBERS} THEN CAST(a AS DOUBLE) {_operator} CAST(b AS DOUBLE) ELSE a {_operator} b END",
+    )
 
 
 def register_rule_functions(spark: SparkSession) -> list[str]:

@@ -116,3 +116,10 @@ def finish(rows: DataFrame, run: Run, by: Sequence[str] = ()) -> DataFrame:
         run.timestamp.alias("validation_timestamp"),
         run.timestamp.cast("date").alias("run_date"),
     )
+
+
+def error_class() -> Column:
+    """The class of a result row's error, without its message; null for rules that could be evaluated."""
+    message = F.col("error_message")
+    found = F.regexp_extract(message, r"^\[([A-Z0-9_.]+)\]", 1)
+    return F.when(message.isNotNull(), F.when(found != "", found).otherwise("RULE"))

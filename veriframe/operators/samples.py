@@ -19,6 +19,7 @@ from veriframe.operators.topk import top_per_group
 from veriframe.plans.rules import Rule
 
 SAMPLE_SIZE = 100
+PLACE = "_rule_place"  # of a rule in the list of those that are sampled
 
 # Types whose values can be written as SQL text and read back unchanged.
 _COMPARED = (BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType)
@@ -67,6 +68,13 @@ def _exploded(df: DataFrame, violations: Sequence[tuple[Rule, str]]) -> DataFram
     return exploded.where("rule_id IS NOT NULL")
 
 
+def _by_place(df: DataFrame, violations: Sequence[tuple[Rule, str]]) -> DataFrame:
+    """One row per row and violated entry of the list, with its place there: a rule may be assigned twice."""
+    hits = ", ".join(f"CASE WHEN {v} THEN {i} END" for i, (_, v) in enumerate(violations))
+    exploded = df.where(_any(violations)).withColumn(PLACE, F.explode(F.expr(f"array({hits})")))
+    return exploded.where(f"{PLACE} IS NOT NULL")
+
+
 def masked(column: str, method: str) -> Column:
     """A sensitive value made unreadable: `hash`, `mask` (shape kept) or `redact`."""
     c = named(column).cast("string")
@@ -109,17 +117,17 @@ def _bounded(
     if any(not isinstance(types[k], _COMPARED) for k in key):
         return list(violations)
     columns = [named(k) for k in key]
-    some = _exploded(df.sample(fraction=fraction, seed=11), violations).select("rule_id", *columns)
-    last = top_per_group(some, ["rule_id"], columns, n).where(F.col("rank") == n)
+    some = _by_place(df.sample(fraction=fraction, seed=11), violations).select(PLACE, *columns)
+    last = top_per_group(some, [PLACE], columns, n).where(F.col("rank") == n)
     moments = {k: F.unix_micros(named(k)) for k in key if types[k].simpleString() == "timestamp"}
     last = last.withColumns(moments).collect() if moments else last.collect()
     row = "struct(" + ", ".join(map(quoted, key)) + ")"
     bounds = {
-        r["rule_id"]: "struct(" + ", ".join(_value(r[k], types[k]) for k in key) + ")" for r in last
+        r[PLACE]: "struct(" + ", ".join(_value(r[k], types[k]) for k in key) + ")" for r in last
     }
     return [
-        (rule, f"({v}) AND {row} <= {bounds[rule.rule_id]}" if rule.rule_id in bounds else v)
-        for rule, v in violations
+        (rule, f"({v}) AND {row} <= {bounds[i]}" if i in bounds else v)
+        for i, (rule, v) in enumerate(violations)
     ]
 
 
@@ -132,9 +140,10 @@ def sample_violations(
     run: Run = Run(),
     bound_from: float = 0.01,
 ) -> DataFrame:
-    """At most `sample_size` failing rows per rule, the first ones by `key`.
+    """At most `sample_size` failing rows per rule and assignment, the first ones by `key`.
 
-    Ids of violated rules are exploded from one scan; a share `bound_from` of the table tells
+    Every entry of `rules` has a sample of its own, also where one rule is listed for several columns.
+    Places of violated entries are exploded from one scan; a share `bound_from` of the table tells
     beforehand which rows come too late to be in the sample. The record, JSON of the columns the
     rule is assigned to, is only rendered for rows that stay.
     """
@@ -142,36 +151,48 @@ def sample_violations(
     violations = _violations(df, rules)
     if bound_from:
         violations = _bounded(df, violations, key, sample_size, bound_from)
-    exploded = _exploded(df, violations).select("rule_id", *[named(c) for c in wanted if c in df.columns])
-    ranked = top_per_group(exploded, ["rule_id"], [named(k) for k in key], sample_size)
+    exploded = _by_place(df, violations).select(PLACE, *[named(c) for c in wanted if c in df.columns])
+    ranked = top_per_group(exploded, [PLACE], [named(k) for k in key], sample_size)
     shown = mask_columns(ranked, {c: m for c, m in (sensitive or {}).items() if c in wanted})
     record = F.lit(None).cast("string")
-    for rule in rules:
+    for i, (rule, _) in enumerate(violations):
         columns = [c for c in rule.columns if c in df.columns] or list(key)
         record = F.when(
-            F.col("rule_id") == rule.rule_id,
-            F.to_json(F.struct(*map(named, columns)), {"ignoreNullFields": "false"}),
+            F.col(PLACE) == i, F.to_json(F.struct(*map(named, columns)), {"ignoreNullFields": "false"})
         ).otherwise(record)
+    entries = ", ".join(
+        f"struct({sql_literal(r.rule_id)}, {sql_literal(r.assignment_id)}, "
+        f"CAST(array({', '.join(map(sql_literal, r.columns))}) AS ARRAY<STRING>))" for r, _ in violations)
+    entry = F.expr(f"element_at(array({entries}), {PLACE} + 1)")
     return shown.select(
         F.lit(run.run_id).alias("run_id"),
-        "rule_id",
+        entry["col1"].alias("rule_id"),
         "rank",
         F.to_json(F.struct(*map(named, key)), {"ignoreNullFields": "false"}).alias("record_key"),
         record.alias("record"),
         run.timestamp.cast("date").alias("run_date"),
+        entry["col2"].alias("assignment_id"),
+        entry["col3"].alias("column_names"),
     )
 
 
 def attach_samples(results: DataFrame, samples: DataFrame) -> DataFrame:
-    """Results with `sample_failed_records`; each list is as short as the sample it comes from."""
-    lists = samples.groupBy("rule_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "record"))).alias("ranked")
+    """Results with `sample_failed_records`; each list is as short as the sample it comes from.
+
+    A result and a sample belong together by rule, assignment and columns.
+    """
+    lists = samples.groupBy(
+        F.col("rule_id").alias("_rule"), F.col("assignment_id").alias("_assignment"), F.col("column_names").alias("_columns")
+    ).agg(F.sort_array(F.collect_list(F.struct("rank", "record"))).alias("ranked"))
+    same = (
+        (F.col("rule_id") == F.col("_rule")) & F.col("assignment_id").eqNullSafe(F.col("_assignment"))
+        & F.col("column_names").eqNullSafe(F.col("_columns"))
     )
     return (
-        results.join(lists, "rule_id", "left")
+        results.join(lists, same, "left")
         .withColumn(
             "sample_failed_records",
             F.coalesce(F.col("ranked.record"), F.array().cast("array<string>")),
         )
-        .drop("ranked")
+        .drop("ranked", "_rule", "_assignment", "_columns")
     )

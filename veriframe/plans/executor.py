@@ -7,11 +7,13 @@ import hashlib
 import json
 import logging
 import time
+import urllib.parse
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,8 +35,9 @@ from veriframe.streaming.checks import check_batches, read_batches
 log = logging.getLogger(__name__)
 
 
-def _now() -> dt.datetime:
-    return dt.datetime.now(dt.UTC).replace(tzinfo=None)
+def utc_now() -> dt.datetime:
+    """The moment with its zone, so that neither the driver's nor the session's zone shifts it."""
+    return dt.datetime.now(dt.UTC)
 
 
 def rule_of(row: Row) -> Rule:
@@ -113,6 +116,23 @@ def check_table(
     return reduce(DataFrame.unionByName, frames)
 
 
+# Conditions of the engine or of storage, not of a rule.
+_NOT_ABOUT_RULES = ("FAILED_READ_FILE", "FAILED_JDBC", "INTERNAL_ERROR", "TASK_WRITE_FAILED", "UNABLE_TO_ACQUIRE_MEMORY")
+
+
+def about_rules(e: Exception) -> bool:
+    """Whether an error comes from a rule and its data, not from a lost executor or an unreadable file."""
+    if isinstance(e, PySparkException):
+        condition = e.getCondition()
+        return condition is not None and not condition.startswith(_NOT_ABOUT_RULES)
+    return isinstance(e, (RuleError, KeyError, ValueError))
+
+
+def _folder(value: str | None) -> str:
+    """A value as the name of a partition's folder, in the way Spark reads it back."""
+    return "__HIVE_DEFAULT_PARTITION__" if not value else urllib.parse.quote(value, safe="")
+
+
 def _first_line(e: Exception) -> str:
     if isinstance(e, KeyError):
         return f"missing in additional_config: {e.args[0]}"
@@ -170,14 +190,14 @@ class RuleExecutor:
         with ThreadPoolExecutor(max(1, max_parallel)) as pool:
             running = {}
             for (_, _, name), group in tables.items():
-                self._log(group, run_id, "running", _now())
+                self._log(group, run_id, "running", utc_now())
                 job = (name, group, run_id, sample_size, (since or {}).get(name))
                 running[pool.submit(self._run_table, *job)] = group
             # Only this thread appends to the shared tables, as soon as a table is done.
             for done in as_completed(running):
                 made = done.result()
                 self.tables.append_rows("validation_results", made)
-                self._log(running[done], run_id, None, _now(), {r["assignment_id"]: r for r in made})
+                self._log(running[done], run_id, None, utc_now(), {r["assignment_id"]: r for r in made})
                 rows += made
         if not rows:
             return self.tables.read("validation_results").limit(0)
@@ -194,7 +214,8 @@ class RuleExecutor:
         """Check the files that are new since the last call, batch by batch.
 
         For row rules on tables of files. Returns the result rows of all batches so far, with
-        `batch_id`; a batch that is repeated after a failure is stored once.
+        `batch_id`; a batch that is repeated after a failure is stored once. Every batch is a run of
+        its own in the results table, the log and the lineage.
         """
         tables: dict[tuple, list[Row]] = {}
         for row in self._resolved(assignment_ids):
@@ -210,18 +231,37 @@ class RuleExecutor:
             # The checkpoint belongs to the table and the set of its assignments: every file is read
             # once for each set, so that a second set sees the earlier files, too.
             chosen = json.dumps([schema_name, sorted({row.assignment_id for row in group})])
-            folder = self.tables.path(f"streams/{source_id}/{name}/{hashlib.sha256(chosen.encode()).hexdigest()[:32]}")
+            digest = hashlib.sha256(chosen.encode()).hexdigest()[:32]
+            folder = self.tables.path(f"streams/{source_id}/{name}/{digest}")
             check_batches(
                 source.read_stream(name, files_per_batch), rules, f"{folder}/results",
                 f"{folder}/checkpoint", name,
             )
             results = read_batches(self.spark, f"{folder}/results")
             if results is not None:
+                self._publish(results, f"{digest}-", source_id)
                 stored.append(results)
         if not stored:
             return self.tables.read("validation_results").withColumn("batch_id", F.lit(0)).limit(0)
         return reduce(DataFrame.unionByName, stored)
 
+    def _publish(self, batches: DataFrame, prefix: str, source_id: str) -> None:
+        """Add the batches' results, states and lineage to the tables, those that are not there yet.
+
+        Every table is looked up by itself, so a publication that broke off is completed by the next.
+        """
+        runs = batches.drop("batch_id").withColumn("run_id", F.concat(F.lit(prefix), "run_id"))
+        done = F.when(F.col("status") == "error", "failed").otherwise("completed")
+        events = runs.select(
+            "run_id", "assignment_id", F.lit("streaming").alias("execution_type"), F.lit(source_id).alias("source_id"),
+            done.alias("status"), F.col("validation_timestamp").alias("event_time"),
+            F.col("records_checked").alias("records_processed"), "error_message")
+        for name, rows, key in (("validation_results", runs, ["run_id", "assignment_id"]),
+                                ("execution_logs", events, ["run_id", "assignment_id"]),
+                                ("data_lineage", lineage_rows(runs), ["run_id", "table_name"])):
+            there = self.tables.read(name).where(F.col("run_id").startswith(prefix)).select(*key).distinct()
+            self.tables.append(name, rows.join(there, key, "left_anti"))
+
     def _resolved(self, assignment_ids: Sequence[str], active_only: bool = True) -> list[Row]:
         """Rule text is needed on the driver; there is one row per requested assignment."""
         wanted = self.tables.read("rule_assignments").where(
@@ -238,7 +278,7 @@ class RuleExecutor:
 
     def _run_table(self, name, group, run_id, sample_size, since) -> list[dict]:
         clock = time.monotonic()
-        run = Run(run_id=run_id, at=_now(), table_name=name)
+        run = Run(run_id=run_id, at=utc_now(), table_name=name)
         rules = [rule_of(row) for row in group]
 
         def parent(rule: Rule) -> DataFrame:
@@ -252,7 +292,7 @@ class RuleExecutor:
                 df = rows_since(df, *since)
             # One row per rule, so this is a handful of rows.
             results = self._collect(df, rules, run, parent)
-            self._store_samples(df, rules, run, sample_size)
+            self._store_samples(df, rules, run, sample_size, group[0])
         except Exception as e:
             log.exception("table %s could not be checked", name)
             results = finish(error_rows(self.spark, [(r, _first_line(e)) for r in rules]), run).collect()
@@ -263,6 +303,8 @@ class RuleExecutor:
         try:
             return check_table(df, rules, run, parent).collect()
         except Exception as e:
+            if not about_rules(e):
+                raise  # a lost executor or a file that cannot be read says nothing about a rule
             if len(rules) == 1:
                 return finish(error_rows(self.spark, [(rules[0], _first_line(e))]), run).collect()
             # A rule that fails on some value stops the shared scan: find it, keep the others.
@@ -271,7 +313,7 @@ class RuleExecutor:
                 df, rules[middle:], run, parent
             )
 
-    def _store_samples(self, df, rules, run, sample_size) -> None:
+    def _store_samples(self, df, rules, run, sample_size, table: Row) -> None:
         row_rules, _ = resolve(df, [r for r in rules if r.check == "row"])
         if not sample_size or not row_rules:
             return
@@ -281,8 +323,9 @@ class RuleExecutor:
             return
         try:
             samples = sample_violations(df, sampled, key, sample_size, run=run)
-            # A folder per table and run: tables are sampled at the same time.
-            folder = f"violations/table_name={run.table_name}/run_id={run.run_id}"
+            # A folder per source, schema, table and run: tables are sampled at the same time.
+            parts = {"source_id": table.source_id, "schema_name": table.schema_name, "table_name": run.table_name, "run_id": run.run_id}
+            folder = "/".join(["violations", *(f"{k}={_folder(v)}" for k, v in parts.items())])
             samples.drop("run_id").write.mode("overwrite").partitionBy("run_date", "rule_id").parquet(
                 self.tables.path(folder)
             )

@@ -96,6 +96,7 @@ class RuleImport:
     assignments: DataFrame
     errors: DataFrame
     summary: DataFrame
+    details: DataFrame
 
 
 def import_rules(
@@ -130,7 +131,9 @@ def import_rules(
     )
     assign = create_assignments and all(c in df.columns for c in TARGET_COLUMNS)
     if assign:
-        known = sources.select(F.col("source_name").alias("target_source"), "source_id")
+        # one row for each name, so that a repeated name neither multiplies lines nor picks a source
+        known = sources.groupBy(F.col("source_name").alias("target_source")).agg(
+            F.min("source_id").alias("source_id"), (F.countDistinct("source_id") > 1).alias("source_is_ambiguous"))
         names = F.transform(F.split("target_columns", ","), lambda c: F.trim(c))
         checked = (
             spread_join(checked, known, ["target_source"], "left")
@@ -138,6 +141,8 @@ def import_rules(
             .withColumn("target_problems", F.array_compact(F.array(
                 _problem(F.col("source_id").isNull(), F.concat(
                     F.lit("data source not found: "), F.coalesce("target_source", F.lit("(empty)")))),
+                _problem(F.coalesce("source_is_ambiguous", F.lit(False)), F.concat(
+                    F.lit("data source name is not unique: "), F.col("target_source"))),
                 _not_a_name("target_schema"),
                 _not_a_name("target_table"),
                 _problem(F.exists("column_names", lambda c: c == ""), "column names must not be empty"),
@@ -164,6 +169,10 @@ def import_rules(
         versions=_versions(checked.where("rule_created")),
         assignments=_assignments(checked.where("assignment_created")) if assign else None,
         errors=checked.where("error IS NOT NULL").select("row", "error"),
+        details=checked.select(
+            "row", "rule_name", F.when(F.col("rule_created"), F.col("rule_id")).alias("rule_id"),
+            F.when(F.col("assignment_created"), _assignment_id()).alias("assignment_id") if assign
+            else F.lit(None).cast("string").alias("assignment_id"), "error"),
         summary=checked.agg(
             F.count(F.lit(1)).alias("total_rows"),
             F.count_if("rule_created").alias("rules_created"),
@@ -173,9 +182,20 @@ def import_rules(
     )
 
 
+def _once(good: DataFrame) -> DataFrame:
+    """The first line of each rule: a rule with several targets is one rule."""
+    rest = [c for c in good.columns if c != "rule_id"]
+    first = good.groupBy("rule_id").agg(F.min_by(F.struct(*rest), "row").alias("_line"))
+    return first.select("rule_id", *[F.col("_line")[c].alias(c) for c in rest])
+
+
+def _assignment_id() -> Column:
+    return _id("rule_id", "source_id", "target_schema", "target_table", "target_columns")
+
+
 def _rules(good: DataFrame, threshold: Column) -> DataFrame:
     now = F.current_timestamp()
-    return good.select(
+    return _once(good).select(
         "rule_id", "rule_name", "rule_type", "rule_category", "severity_level", "rule_logic",
         threshold.alias("threshold_value"), F.lit(True).alias("is_reusable"), "description",
         "created_by", now.alias("created_at"), F.lit(None).cast("string").alias("updated_by"),
@@ -184,7 +204,7 @@ def _rules(good: DataFrame, threshold: Column) -> DataFrame:
 
 
 def _versions(good: DataFrame) -> DataFrame:
-    return good.select(
+    return _once(good).select(
         "rule_id", F.lit(1).alias("version_number"), "rule_name", "rule_logic",
         F.col("created_by").alias("changed_by"), F.lit("Initial version").alias("change_reason"),
         F.current_timestamp().alias("changed_at"),
@@ -194,7 +214,7 @@ def _versions(good: DataFrame) -> DataFrame:
 def _assignments(good: DataFrame) -> DataFrame:
     now = F.current_timestamp()
     return good.select(
-        _id("rule_id", "source_id", "target_schema", "target_table", "target_columns").alias("assignment_id"),
+        _assignment_id().alias("assignment_id"),
         "rule_id", "source_id", F.col("target_schema").alias("schema_name"),
         F.col("target_table").alias("table_name"), "column_names", "execution_frequency",
         "schedule_expression", F.lit(True).alias("is_active"), F.lit(0).alias("priority_order"),
@@ -208,17 +228,30 @@ class BatchRuleImporter:
 
     def __init__(self, tables):
         self.tables = tables
+        self.details: DataFrame | None = None
 
     def import_from_csv(self, path: str, create_assignments: bool = True) -> dict:
-        """Append the file's rules and assignments; returns the totals of the import."""
+        """Append the file's rules and assignments that are not stored yet; returns the totals of the import.
+
+        `details` has a row for each line: its number, the rule's name and id, the assignment's id, and
+        what is wrong with it.
+        """
         lines = read_rules_csv(self.tables.spark, path)
         outcome = import_rules(lines, self.tables.read("data_sources"), create_assignments)
-        self.tables.append("validation_rules", outcome.rules)
-        self.tables.append("rule_version_history", outcome.versions)
+        # looked up before anything is stored, so that all tables are asked about the same moment
+        new = [("rule_version_history", self._new("rule_version_history", outcome.versions, "rule_id")),
+               ("validation_rules", self._new("validation_rules", outcome.rules, "rule_id"))]
         if outcome.assignments is not None:
-            self.tables.append("rule_assignments", outcome.assignments)
+            new.append(("rule_assignments", self._new("rule_assignments", outcome.assignments, "assignment_id")))
+        for name, rows in new:
+            self.tables.append(name, rows)
+        self.details = outcome.details
         return outcome.summary.first().asDict()
 
+    def _new(self, name: str, rows: DataFrame, key: str) -> DataFrame:
+        there = self.tables.read(name).select(key).distinct()
+        return rows.dropDuplicates([key]).join(there, key, "left_anti")
+
     def validate_import_file(self, path: str) -> dict:
         """Whether the file could be imported, and what is missing."""
         return validate_import(read_rules_csv(self.tables.spark, path)).first().asDict()

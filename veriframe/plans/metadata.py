@@ -81,7 +81,13 @@ def execution_states(events: DataFrame) -> DataFrame:
 def resolve_assignments(
     assignments: DataFrame, rules: DataFrame, sources: DataFrame, active_only: bool = True
 ) -> DataFrame:
-    """Assignments with their rule and source; inactive ones are left out unless asked for."""
+    """Assignments with their rule and source; inactive ones are left out unless asked for.
+
+    Of a rule or source that is stored several times the current row counts: the highest version,
+    then the latest change.
+    """
+    rules = current_rows(rules, ["rule_id"], "version", "updated_at", "created_at")
+    sources = current_rows(sources, ["source_id"], "updated_at", "created_at")
     if active_only:
         assignments, rules = assignments.where("is_active"), rules.where("is_active")
     rule = rules.select(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from veriframe.errors import RuleError
 from veriframe.functions.names import quoted
-from veriframe.operators.results import Run
+from veriframe.operators.results import Run, sql_literal
 from veriframe.operators.row_checks import check_rows
 from veriframe.operators.samples import SAMPLE_SIZE, attach_samples, sample_violations
 from veriframe.plans.rules import Rule
@@ -21,6 +22,17 @@ def _literal(text: str) -> str:
     return f"r{quote}{text}{quote}"
 
 
+def _bound(value) -> str:
+    """A bound as SQL: dates and times are typed, text is compared as the column's type."""
+    if isinstance(value, dt.datetime):
+        return f"timestamp'{value.isoformat(sep=' ')}'" if value.tzinfo else f"timestamp_ntz'{value.isoformat(sep=' ')}'"
+    if isinstance(value, dt.date):
+        return f"date'{value.isoformat()}'"
+    if isinstance(value, str):
+        return sql_literal(value)
+    return "NULL" if value is None else str(value)
+
+
 class _Validator:
     def __init__(self, run: Run = Run()):
         self.run = run
@@ -66,7 +78,7 @@ class SingleFieldValidator(_Validator):
     ) -> DataFrame:
         c = quoted(column)
         logic = {
-            "range": lambda: f"range_check({c}, {min_value}, {max_value})",
+            "range": lambda: f"range_check({c}, {_bound(min_value)}, {_bound(max_value)})",
             "regex": lambda: f"regex_match({c}, {_literal(pattern or '')})",
             "email": lambda: f"is_email({c})",
             "phone": lambda: f"is_phone({c})",
