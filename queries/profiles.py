@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from queries.base import query, table
@@ -9,6 +11,7 @@ from queries.row_rules import LINEITEM_RULES
 from queries.base import rules_from, run_of
 from veriframe.operators import profile as P
 from veriframe.operators import sketches as S
+from veriframe.operators.patterns import expressions
 from veriframe.operators.row_checks import check_rows
 from veriframe.session import shared_folder
 from veriframe.sources.connectors import describe
@@ -155,6 +158,31 @@ def value_patterns(spark, sf_dir):
     return P.patterns(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], 5)
 
 
+EXPRESSED = {"customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "pages": ["url"], "documents": ["text", "lang", "source"]}
+
+
+@query("pattern_expressions", "\nUNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count({c}) AS row_count, count({c})::BIGINT AS covered, count({c}) AS matched,
+ true AS no_more_than_shapes FROM {t}""" for t, columns in EXPRESSED.items() for c in columns))
+def pattern_expressions(spark, sf_dir):
+    """Expressions of text columns: how many values they cover, how many values match one, and whether they are no more than the shapes."""
+    frames = []
+    for name, columns in EXPRESSED.items():
+        df = table(spark, sf_dir, name).select(*columns)
+        found = expressions(df, columns, 100_000).groupBy("column_name").agg(
+            F.sum("copies").alias("covered"), F.collect_list("expression").alias("expressions"))
+        lists = {r.column_name: r.expressions for r in found.collect()}
+        rows = df.agg(*[x for c in columns for x in (
+            F.count(c).alias(f"{c}_rows"), F.count_if(F.col(c).rlike("|".join(lists[c]))).alias(f"{c}_matched"),
+            F.countDistinct(P.shape(F.col(c))).alias(f"{c}_shapes"))])
+        each = rows.select(F.inline(F.array(*[
+            F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_rows").alias("row_count"), F.col(f"{c}_matched").alias("matched"),
+                     (F.lit(len(lists[c])) <= F.col(f"{c}_shapes")).alias("no_more_than_shapes")) for c in columns])))
+        frames.append(found.drop("expressions").join(each, "column_name").withColumn("table_name", F.lit(name)))
+    return reduce(lambda a, b: a.unionByName(b), frames).select(
+        "table_name", "column_name", "row_count", "covered", "matched", "no_more_than_shapes")
+
+
 @query("page_patterns", "SELECT pattern, CAST(copies AS BIGINT) AS copies FROM (SELECT "
        f"{shape_sql('url')} AS pattern, count(*) AS copies FROM pages GROUP BY ALL) "
        "ORDER BY copies DESC, pattern LIMIT 20")

@@ -203,6 +203,39 @@ def metadata_constraints(spark, sf_dir):
     return report(results.unionByName(wanted))
 
 
+SCORES = ("completeness", "accuracy", "consistency", "integrity", "timeliness")
+SCORE_SQL = {"overall_score": "o_totalprice / 4000", "completeness_score": "o_custkey % 120", "accuracy_score": "CASE WHEN o_orderkey % 3 = 0 THEN 101 END",
+             "consistency_score": "-(o_orderkey % 2)", "integrity_score": "o_orderkey % 101", "timeliness_score": "CAST(NULL AS DOUBLE)"}
+
+
+def _unique_sql(table_name, source, columns):
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return key_sql(f"{table_name}_unique", table_name, f"SELECT count(*) FROM {source}",
+                   f"SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {source} WHERE {complete} GROUP BY {', '.join(columns)} HAVING count(*) > 1)")
+
+
+@query("metadata_unique_keys", "WITH results AS (" + result_sql("\nUNION ALL ".join([
+    constraint_sql("source_name_length", "data_sources", "part", "length(p_brand) BETWEEN 1 AND 255"),
+    constraint_sql("source_type_known", "data_sources", "part", "p_size % 2 = 0"),
+    _unique_sql("data_sources", "part", ["p_brand"]),
+    _unique_sql("rule_version_history", "lineitem", ["l_orderkey", "l_linenumber"]),
+    constraint_sql("overall_score_in_range", "quality_scores", "orders", f"{SCORE_SQL['overall_score']} BETWEEN 0 AND 100"),
+    *[constraint_sql(f"{c}_score_in_range", "quality_scores", "orders", f"coalesce({SCORE_SQL[c + '_score']} BETWEEN 0 AND 100, true)") for c in SCORES],
+    _unique_sql("quality_scores", "orders", ["o_orderstatus", "CAST(o_orderdate AS DATE)"]),
+]), "x", "t, ") + ") SELECT * EXCLUDE (t) REPLACE (t AS table_name) FROM results")
+def metadata_unique_keys(spark, sf_dir):
+    """The unique keys of sources, versions and scores, with the other constraints of these tables."""
+    sources_ = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("source_name"), F.when(F.col("p_size") % 2 == 0, "s3").otherwise("floppy").alias("source_type"))
+    versions = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("rule_id"), F.col("l_linenumber").alias("version_number"))
+    scores = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("table_name"), F.to_date("o_orderdate").alias("score_date"),
+        *[F.expr(text).cast("double").alias(name) for name, text in SCORE_SQL.items()])
+    return report(check_constraints(
+        {"data_sources": sources_, "rule_version_history": versions, "quality_scores": scores}, run_of("rules")))
+
+
 @query("list_rules", f"WITH {LINES_SQL} SELECT rule_name, rule_type, rule_category FROM lines "
        "WHERE rule_type = 'single_field' AND rule_category = 'accuracy' AND row % 2 = 0")
 def list_rules_query(spark, sf_dir):

@@ -10,7 +10,7 @@ from veriframe.operators.integrity import check_unique, duplicate_rows
 from veriframe.operators.results import Run
 from veriframe.operators.row_checks import check_rows, with_predicates
 from veriframe.operators.samples import (
-    attach_samples, mark_violations, mask_columns, sample_violations, split_rows,
+    attach_samples, mark_violations, mask_columns, sample_violations, split_rows, store_split,
 )
 from veriframe.plans.rules import TABLE_SCHEMAS, Rule
 from veriframe.plans.validators import MultiFieldValidator, SingleFieldValidator
@@ -139,6 +139,14 @@ def test_split_and_mask(users):
     assert len(row.email) == 64 and row.name == "Xxxx Xxx" and row.age == "***"
 
 
+def test_split_in_one_write(spark, users, tmp_path):
+    rules = [Rule("e", "is_email(column)", ("email",)), Rule("a", "age < 35", ("age",))]
+    for n, (want, got) in enumerate(zip(split_rows(users, rules), store_split(users, rules, str(tmp_path / "s")))):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), n
+    good, bad = store_split(users, [Rule("all", "true", ("age",))], str(tmp_path / "s"))
+    assert (good.count(), bad.count()) == (4, 0)
+
+
 def test_sample_is_bounded_ordered_and_masked(spark):
     df = spark.range(5000).select("id", (F.col("id") % 3).alias("k"), F.lit("secret").alias("s"))
     rules = [Rule("third", "k <> 0", ("k", "s"), rule_type="multi_field"), Rule("all", "id < 0", ("id",)), Rule("none", "id >= 0", ("id",))]
@@ -228,3 +236,29 @@ def test_time_keys_bound_samples_in_any_driver_zone(spark):
         time.tzset()
     want = sample_violations(df, rules, ["ts"], 20, bound_from=0.0).collect()
     assert len(got) == 20 and sorted(r.record for r in got) == sorted(r.record for r in want)
+
+
+def test_a_rule_on_two_columns_has_two_samples(spark):
+    df = spark.createDataFrame([(i, i % 4, i % 5) for i in range(100)], "id int, a int, b int")
+    rules = [Rule("nn", "column > 0", ("a",)), Rule("nn", "column > 0", ("b",)), Rule("nn", "column > 0", ("b",), assignment_id="x")]
+    rows = sample_violations(df, rules, ["id"], 6, bound_from=0.5).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault((tuple(r.column_names), r.assignment_id), []).append((r.record_key, r.record))
+    a = [(f'{{"id":{i}}}', '{"a":0}') for i in range(0, 24, 4)]
+    b = [(f'{{"id":{i}}}', '{"b":0}') for i in range(0, 30, 5)]
+    assert found == {(("a",), None): a, (("b",), None): b, (("b",), "x"): b}
+    results = attach_samples(check_rows(df, rules), sample_violations(df, rules, ["id"], 2)).collect()
+    assert sorted((r.column_names[0], r.sample_failed_records) for r in results) == [
+        ("a", ['{"a":0}'] * 2), ("b", ['{"b":0}'] * 2), ("b", ['{"b":0}'] * 2)]
+
+
+def test_ranges_of_dates_and_text(spark):
+    from veriframe.plans.validators import SingleFieldValidator
+
+    df = spark.createDataFrame([(dt.date(2024, 1, i), dt.datetime(2024, 1, i, 12), f"k{i}") for i in range(1, 10)], "d date, t timestamp_ntz, s string")
+    v = SingleFieldValidator()
+    for column, low, high, failed in (("d", dt.date(2024, 1, 3), dt.date(2024, 1, 5), 6), ("d", "2024-01-03", None, 2), ("s", "k2", "k8", 2),
+                                      ("t", dt.datetime(2024, 1, 2, 12), dt.datetime(2024, 1, 2, 13), 8), ("d", None, dt.date(2023, 1, 1), 9)):
+        row = v.validate_accuracy(df, column, "range", min_value=low, max_value=high).first()
+        assert (row.status, row.records_failed) == ("fail", failed), (column, row.error_message)

@@ -7,7 +7,7 @@ from veriframe.operators.results import Run
 from veriframe.plans.constraints import check_constraints
 from veriframe.plans.executor import RuleExecutor
 from veriframe.plans.imports import BatchRuleImporter, import_rules, read_rules_csv
-from veriframe.plans.metadata import MetadataTables, current_versions, execution_states
+from veriframe.plans.metadata import MetadataTables, current_versions, execution_states, resolve_assignments
 from veriframe.session import shared_folder
 
 HEADER = "rule_name,rule_type,rule_category,severity_level,rule_logic,created_by"
@@ -249,3 +249,57 @@ def test_saved_results_are_completed(spark, tables):
     rows = {r.rule_id: r for r in tables.read("validation_results").collect()}
     assert (rows["r"].failure_rate, rows["s"].failure_rate, rows["t"].failure_rate) == (25.0, 0.0, None)
     assert all(r.validation_timestamp and r.run_date for r in rows.values())
+
+
+def test_a_rule_with_two_targets_is_stored_once(spark, tables, tmp_path):
+    line = "Email Check,single_field,accuracy,high,is_email(col('email')),admin,Test Source,public,{},email,batch"
+    path = write(tmp_path / "r.csv", f"{HEADER},{TARGET}", line.format("users"), line.format("people"), line.format("users"),
+                 "Bad,single,accuracy,high,x > 1,admin,Test Source,public,users,x,batch")
+    importer = BatchRuleImporter(tables)
+    for _ in range(2):  # a file that is imported again adds nothing
+        totals = importer.import_from_csv(path)
+        assert totals == {"total_rows": 4, "rules_created": 3, "assignments_created": 3, "errors": 1}
+        assert tables.read("validation_rules").count() == tables.read("rule_version_history").count() == 1
+        assert sorted(r.table_name for r in tables.read("rule_assignments").collect()) == ["people", "users"]
+    resolved = resolve_assignments(*(tables.read(n) for n in ("rule_assignments", "validation_rules", "data_sources")))
+    assert resolved.count() == 2
+    details = importer.details.orderBy("row").collect()
+    assert [r.rule_name for r in details] == ["Email Check"] * 3 + ["Bad"]
+    assert [r.assignment_id is not None for r in details] == [True, True, True, False]
+    assert details[0].assignment_id == details[2].assignment_id != details[1].assignment_id
+    assert details[3].rule_id is None and details[3].error == "invalid rule_type: single"
+
+
+def test_names_of_sources_must_be_unique(tables, tmp_path):
+    tables.append_rows("data_sources", [{"source_id": "other", "source_name": "Test Source", "source_type": "s3", "is_active": True}])
+    path = write(tmp_path / "r.csv", f"{HEADER},{TARGET}",
+                 "Email Check,single_field,accuracy,high,is_email(col('email')),admin,Test Source,public,users,email,batch")
+    importer = BatchRuleImporter(tables)
+    assert importer.import_from_csv(path) == {"total_rows": 1, "rules_created": 1, "assignments_created": 0, "errors": 1}
+    assert importer.details.first().error == "data source name is not unique: Test Source"
+
+
+def test_the_current_version_of_a_rule_counts(spark, tables, users, tmp_path):
+    users.write.parquet(str(tmp_path / "data" / "users"))
+    assigned(tables, ("age", ["age"], "age < 0", None, "users", True, True))
+    tables.append_rows("validation_rules", [{
+        "rule_id": "age", "rule_name": "age", "rule_type": "single_field", "rule_category": "accuracy", "severity_level": "high",
+        "rule_logic": "age > 0", "created_by": "test", "is_active": True, "version": 2}])
+    rows = RuleExecutor(tables).execute_batch(["as-age"]).collect()
+    assert [(r.rule_id, r.records_failed) for r in rows] == [("age", 0)]
+
+
+def test_stream_results_reach_the_tables_once(spark, tables, users, tmp_path):
+    folder = str(tmp_path / "data" / "users")
+    users.coalesce(1).write.parquet(folder)
+    assigned(tables, ("email", ["email"], "is_email(column)", None, "users", True, True), ("age", ["age"], "range_check(column, 18, 30)", None, "users", True, True))
+    executor = RuleExecutor(tables)
+    for n in (1, 1, 2):
+        if n == 2:
+            users.coalesce(1).write.mode("append").parquet(folder)
+        executor.execute_stream(["as-email", "as-age"])
+        stored = tables.read("validation_results")
+        assert stored.count() == 2 * n and stored.select("run_id").distinct().count() == n
+        logged = tables.read("execution_logs").where("execution_type = 'streaming' AND status = 'completed'")
+        assert logged.count() == 2 * n and {r.records_processed for r in logged.collect()} == {4}
+        assert tables.read("data_lineage").count() == n

@@ -23,3 +23,10 @@ def test_sql_functions_agree_with_rule_text(spark):
     assert "RLIKE" in plan and "is_email" not in plan
     for name in names:
         spark.sql(f"DROP TEMPORARY FUNCTION {name}")
+
+
+def test_comparisons(spark):
+    register_rule_functions(spark)
+    row = spark.sql("""SELECT equals('1.0', 1) AS a, equals('x', 'x') AS b, not_equals(2, 3) AS c, greater_than('10', 9) AS d, less_than('b', 'c') AS e,
+        greater_than(date'2024-01-02', date'2024-01-01') AS f, equals(NULL, 1) AS g""").first()
+    assert tuple(row) == (True, True, True, True, True, True, None)

@@ -187,3 +187,15 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
     assert W.window_results(spark, out).where("rule_id = 'small'").agg(F.sum("records_checked")).first()[0] == 25
     with pytest.raises(Exception, match="cannot start every"):
         W.check_windows(stream, RULES, "ts", "1 hour", out, str(tmp_path / "cp3"), "2 hours")
+
+
+def test_first_rows_of_a_hot_key_are_split(spark, tmp_path):
+    folder = tmp_path / "in"
+    write_file(spark, folder, [(7 if i % 3 else i % 5, i, START + i * MINUTE) for i in range(300)])
+    stream = S.file_stream(spark, str(folder), SCHEMA)
+    first = S.first_rows(stream, ["k"], "ts", "2 days", salts=8)
+    query = S.catch_up(first, str(tmp_path / "f"), str(tmp_path / "cp"))
+    rows = spark.read.parquet(str(tmp_path / "f"))
+    assert rows.columns == ["k", "x", "ts"] and sorted(r.k for r in rows.collect()) == [0, 1, 2, 3, 4, 7]
+    states = max((p["stateOperators"] for p in query.recentProgress if p["stateOperators"]), key=len)
+    assert len(states) == 2  # groups of a key, then the key

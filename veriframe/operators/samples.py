@@ -58,6 +58,21 @@ def split_rows(df: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFra
     return df.where(f"NOT ({_any(violations)})"), bad.withColumn("violated", ids)
 
 
+def store_split(df: DataFrame, rules: Sequence[Rule], path: str) -> tuple[DataFrame, DataFrame]:
+    """Good and bad rows written below `path` in one scan and one write, and read back as by `split_rows`.
+
+    The folders are `rows=good` and `rows=bad`; good rows have an empty list of violated rules there.
+    """
+    violations = _violations(df, rules)
+    marked = df.withColumns({
+        "violated": F.when(F.expr(_any(violations)), F.expr(f"array_compact({_ids(violations)})")).otherwise(F.array().cast("array<string>")),
+        "rows": F.when(F.expr(_any(violations)), "bad").otherwise("good")})
+    # both parts are replaced, also one that no row falls into any more
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("rows").parquet(path)
+    stored = df.sparkSession.read.schema(marked.schema).parquet(path)
+    return stored.where("rows = 'good'").select(*map(named, df.columns)), stored.where("rows = 'bad'").drop("rows")
+
+
 def violating_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per row and rule it violates, with `rule_id`."""
     return _exploded(df, _violations(df, rules))
