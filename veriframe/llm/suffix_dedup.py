@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.arrays import U64, Rolling, chunks, mix, prepare, table
-from veriframe.session import shared_folder
+from veriframe.llm.scratch import drop, kept
 
 LENGTH = 400
 GRAM = 100
 CELL = 20
+OFTEN, SALTS = 1000, 64
 SAMPLE = 20_000  # splitter candidates
 
 
@@ -99,6 +100,22 @@ def repeated(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
 
 
+def marked(df: DataFrame, key: str, base: DataFrame, *row: str) -> DataFrame:
+    """`df` with `all`: whether the row's value of a key column occurs at least twice in `base`, a written table.
+
+    Rows of a value that holds a large share, and rows without one, are dealt to `SALTS` groups by the
+    columns `row`. At most `OFTEN` values can hold that share.
+    """
+    counts = base.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    large = F.col("_n") > base.count() // OFTEN + SALTS
+    often = counts.where(large).select(key, F.lit(True).alias("_often"))
+    known = counts.select(key, F.lit(True).alias("all"), F.explode(
+        F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("_salt"))
+    group = F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("int")
+    dealt = df.join(F.broadcast(often), key, "left").withColumn("_salt", F.when(F.col("_often") | F.col(key).isNull(), group).otherwise(0))
+    return dealt.join(known, [key, "_salt"], "left").drop("_salt", "_often").withColumn("all", F.coalesce("all", F.lit(False)))
+
+
 def cells(segments: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
     """(seg, first, last, core, whole): cells of the windows of undecided runs.
 
@@ -175,9 +192,7 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 def repeated_suffixes(keys: DataFrame) -> DataFrame:
     """(seg, first) of all suffixes whose key occurs at least twice."""
     spark = keys.sparkSession
-    path = shared_folder(spark, "suffixes")
-    keys.write.parquet(path)
-    keys = spark.read.parquet(path)
+    keys = kept(keys, "suffixes")
     total = keys.count()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     every = max(1, total // SAMPLE)
@@ -253,17 +268,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     cell = max(1, min(CELL, length // 8))
     texts = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= length).withColumn("key", text_key("text"))
 
-    def kept(df, name):
-        path = shared_folder(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    found = anchors(texts, length, gram)
-    found = kept(found, "anchors")
+    found = kept(anchors(texts, length, gram), "anchors")
     twice = found.groupBy("gram").agg(F.sum("times").alias("times")).where("times > 1").select("gram")
-    found = kept(found.drop("times").join(twice, "gram"), "runs")
-    found = found.join(repeated(found, "whole").withColumn("all", F.lit(True)), "whole", "left")
-    found = kept(found.select("key", "first", "last", "gram", "whole", F.coalesce("all", F.lit(False)).alias("all")), "decided-runs")
+    runs = kept(found.drop("times").join(twice, "gram"), "runs")
+    drop(found)
+    found = kept(marked(runs, "whole", runs, "key", "first").select("key", "first", "last", "gram", "whole", "all"), "decided-runs")
+    drop(runs)
     # What an undecided run is compared with: the others, and one of each repeated text with its gram.
     left = found.where("not all").drop("all", "whole").distinct()
     others = found.where("all").groupBy("whole").agg(F.min(F.struct("gram", "key", "first", "last")).alias("r")).select("r.*")
@@ -283,10 +293,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     segments = texts.dropDuplicates(["key"]).join(runs, "key").select("key", "text", "runs").mapInArrow(cut, "key long, start long, bytes binary")
     segments = segments.withColumn("seg", F.xxhash64("key", "start"))
     segments = kept(segments, "segments")
-    grid = kept(cells(segments, length, gram, cell), "cells")
-    grid = grid.join(repeated(grid, "core"), "core")
-    grid = grid.join(repeated(grid.where("whole is not null"), "whole").withColumn("all", F.lit(True)), "whole", "left")
-    grid = kept(grid.select("seg", "first", "last", "core", "whole", F.coalesce("all", F.lit(False)).alias("all")), "decided-cells")
+    found_cells = kept(cells(segments, length, gram, cell), "cells")
+    # a whole cell that occurs twice has a core that does
+    grid = marked(found_cells.join(repeated(found_cells, "core"), "core"), "whole", found_cells, "seg", "first")
+    grid = kept(grid.select("seg", "first", "last", "core", "whole", "all"), "decided-cells")
+    drop(found_cells)
     left = grid.where("not all").select("core", "seg", "first", "last")
     others = grid.where("all").groupBy("whole").agg(F.min(F.struct("core", "seg", "first", "last")).alias("r")).select("r.*")
     others = others.join(left.select("core").distinct(), "core", "left_semi")
