@@ -86,8 +86,11 @@ def resolve_assignments(
     Of a rule or source that is stored several times the current row counts: the highest version,
     then the latest change.
     """
-    rules = current_rows(rules, ["rule_id"], "version", "updated_at", "created_at")
-    sources = current_rows(sources, ["source_id"], "updated_at", "created_at")
+    def current(df: DataFrame, key: str) -> DataFrame:
+        latest = [c for c in ("version", "updated_at", "created_at") if c in df.columns]
+        return current_rows(df, [key], *(latest or [key]))
+
+    rules, sources = current(rules, "rule_id"), current(sources, "source_id")
     if active_only:
         assignments, rules = assignments.where("is_active"), rules.where("is_active")
     rule = rules.select(
