@@ -81,3 +81,25 @@ def test_keys_meet_as_often_as_similarity_says():
         assert shared
         met += shared
     assert abs(met / 400 / shingle_dedup.BANDS - 0.8**4) < 0.03
+
+
+def test_fingerprints_alone_find_close_copies(spark):
+    """Without any MinHash key, SimHash and Golay keys link close copies, and sets decide: unlike texts stay apart."""
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    texts = [text(600) for _ in range(6)]
+    texts += [t + " " + text(2) for t in texts for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    nodes = shingle_dedup._sketches(docs, 5, "text").selectExpr("_row AS node", "n", "fp")
+    close = shingle_dedup.fingerprint_pairs(nodes)
+    sets = shingle_dedup._sets(docs.withColumnRenamed("_row", "node"), 5)
+    none = spark.createDataFrame([], "key long, node long, n long")
+    roots = {r.node: r.root for r in shingle_dedup.similar_links(none, sets, 80, close).collect()}
+    fps = {r.node: r.fp for r in nodes.collect()}
+    group = lambda d: d if d < 6 else (d - 6) // 4
+    near = [d for d in range(6, 30) if (fps[d] ^ fps[group(d)]).bit_count() <= 4]
+    assert len(near) >= 20 and all(roots[d] == group(d) for d in near)
+    assert all(root == group(d) for d, root in roots.items())
+    unlike = nodes.selectExpr("node", "n", "0L AS fp")  # one fingerprint for all
+    roots = {r.node: r.root for r in shingle_dedup.similar_links(none, sets, 80, shingle_dedup.fingerprint_pairs(unlike)).collect()}
+    assert {roots.get(d, d) for d in range(6)} == set(range(6))

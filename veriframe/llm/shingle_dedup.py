@@ -1,17 +1,23 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near-duplicate documents: SimHash with Golay keys, checked and completed by the Jaccard similarity of word shingles.
 
 Two texts are linked if their sets of shingles (five words; a text with fewer is one shingle) have
-a Jaccard similarity of at least 0.8; components of links are groups. A 64-bit SimHash cannot tell
-such pairs: they lie up to some fifteen bits apart. Candidates come from MinHash instead: `BANDS`
-keys of `ROWS` minima each. A pair of similarity 0.8 shares no key with a probability of
-(1 - 0.8**4)**32, or 5 in 10**8, and less above. Every candidate pair is verified by its sets.
-
-Equal sets are merged before keys are made. Pairs are not listed for whole groups: each member of
-a key is compared with one of its members, then with one chosen otherwise. What shares a key and is
-not connected by then is compared in a way that finds every similar pair and few others: shingles
-are ordered from rare to frequent, similar sets share one of their first shingles, and the places
-of a shared one bound the similarity. Comparing what is connected already could not change a
-component, so all similar pairs that share a key are in one group.
+a Jaccard similarity of at least 0.8; components of links are groups. Links come in two steps.
+
+First, each different set gets a 64-bit SimHash, and Golay keys find the fingerprints that differ in
+at most four bits (`simhash_dedup`); every pair found is verified by its sets. This finds close
+copies. Pairs of similarity 0.8 lie up to some fifteen bits apart, where no such key reaches.
+
+So what is not connected by then is looked for by MinHash: `BANDS` keys of `ROWS` minima each. A
+pair of similarity 0.8 shares no key with a probability of (1 - 0.8**4)**32, or 5 in 10**8, and less
+above. Every candidate pair is verified by its sets.
+
+Equal sets are merged before fingerprints and keys are made. Pairs are not listed for whole groups:
+a set is compared with one of its fingerprint, fingerprints with one of their key, and each member
+of a MinHash key with one of its members. What shares a key and is not connected by then is compared
+in a way that finds every similar pair and few others: shingles are ordered from rare to frequent,
+similar sets share one of their first shingles, and the places of a shared one bound the similarity.
+Comparing what is connected already could not change a component, so all similar pairs that share a
+key are in one group.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.arrays import U64, chunks, mix, pair_hash, prepare, table
 from veriframe.llm.scratch import drop, kept
-from veriframe.llm.simhash_dedup import connected, shingle_hashes
+from veriframe.llm.simhash_dedup import connected, fingerprint_links, majority, shingle_hashes
 
 BANDS, ROWS = 32, 4
 _random = np.random.default_rng(20240611)
@@ -56,13 +62,14 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _sketches(numbered: DataFrame, width: int, text: str) -> DataFrame:
-    """(_row, n, digest, keys): size, digest and MinHash keys of each row's set."""
+    """(_row, n, digest, fp, keys): size, digest, SimHash and MinHash keys of each row's set."""
 
     def run(batches):
         for batch in batches:
             for rows, chunk in chunks(batch):
                 hashes, ends = shingle_sets(chunk, width)
                 sizes = np.diff(ends, prepend=0)
+                fp = majority(hashes, np.repeat(np.arange(len(ends)), sizes), len(ends))
                 raw = hashes.tobytes()
                 digests = [hashlib.blake2b(raw[8 * (b - n):8 * b], digest_size=16).hexdigest() for b, n in zip(ends.tolist(), sizes.tolist())]
                 keys: list = [[]] * len(ends)
@@ -70,9 +77,10 @@ def _sketches(numbered: DataFrame, width: int, text: str) -> DataFrame:
                 if len(full):
                     for i, k in zip(full.tolist(), band_keys(hashes, (ends - sizes)[full]).view(np.int64)):
                         keys[i] = k
-                yield table(_row=rows.column("_row"), n=pa.array(sizes), digest=pa.array(digests, pa.string()), keys=pa.array(keys, pa.list_(pa.int64())))
+                yield table(_row=rows.column("_row"), n=pa.array(sizes), digest=pa.array(digests, pa.string()), fp=pa.array(fp.view(np.int64)),
+                            keys=pa.array(keys, pa.list_(pa.int64())))
 
-    return numbered.select("_row", F.col(text).alias("text")).mapInArrow(run, "_row long, n long, digest string, keys array<long>")
+    return numbered.select("_row", F.col(text).alias("text")).mapInArrow(run, "_row long, n long, digest string, fp long, keys array<long>")
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -124,9 +132,24 @@ def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
     return kept(moved.unionByName(more.join(roots, "node", "left_anti")), "roots")
 
 
-def similar_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) of all nodes with links: those of (key, node, n) that share a key and have similar sets."""
-    roots = None
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, an, b, bn): pairs of (node, n, fp) that connect fingerprints of at most four different bits.
+
+    A node meets the first one of its fingerprint, and first ones meet as Golay keys link their fingerprints.
+    """
+    first = kept(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")), "fingerprints")
+    equal = nodes.join(first, "fp").where("node <> first.node").select(
+        F.col("node").alias("a"), F.col("n").alias("an"), F.col("first.node").alias("b"), F.col("first.n").alias("bn"))
+    ends = [first.select(F.col("fp").alias(c), F.col("first.node").alias(f"{c}_node"), F.col("first.n").alias(f"{c}n")) for c in "ab"]
+    near = fingerprint_links(first.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return equal.unionByName(near.select(F.col("a_node").alias("a"), "an", F.col("b_node").alias("b"), "bn"))
+
+
+def similar_links(keyed: DataFrame, sets: DataFrame, percent: int, close: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with links: those of `close` and of (key, node, n) with a common key that have similar sets.
+
+    `close` has pairs (a, an, b, bn); they are compared first.
+    """
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, an, b, bn) whose sets are similar; sizes tell most others."""
@@ -137,25 +160,20 @@ def similar_links(keyed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         shared, sizes = F.size(F.array_intersect("left", "right")), F.size("left") + F.size("right")
         return both.where(shared * (100 + percent) >= sizes * percent).select("a", "b")
 
-    # The number that names a member of a key: the same in all keys, then another in each.
-    for order in (F.col("node"), F.xxhash64("node", "key"), None):
-        if roots is None:
-            open_ = keyed.withColumn("root", F.col("node"))
-        else:
-            open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-            open_ = kept(open_.join(mixed, "key", "left_semi"), "open")
-        if order is None:
-            pairs = prefix_pairs(open_.select("node", "n", "root").distinct(), sets, percent)
-        else:
-            seeds = open_.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node", "n", "root")).alias("seed"))
+    roots = connected(kept(similar(close), "links"))
+    for seeded in (True, False):
+        open_ = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        open_ = kept(open_.join(mixed, "key", "left_semi"), "open")
+        if seeded:
+            seeds = open_.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("seed"))
             seeds = seeds.select("key", F.col("seed.node").alias("b"), F.col("seed.n").alias("bn"), F.col("seed.root").alias("b_root"))
             pairs = open_.withColumnsRenamed({"node": "a", "n": "an"}).join(seeds, "key").where("root <> b_root")
             pairs = pairs.select("a", "an", "b", "bn")
+        else:
+            pairs = prefix_pairs(open_.select("node", "n", "root").distinct(), sets, percent)
         found = kept(similar(pairs), "links")
-        if roots is None:
-            roots = connected(found)
-        elif not found.isEmpty():
+        if not found.isEmpty():
             roots = extended(roots, found)
     return roots
 
@@ -177,7 +195,10 @@ def first_rows(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str =
         F.explode("keys").alias("key"), F.col("_row").alias("node"), "n")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     keyed = kept(keyed.join(shared, "key", "left_semi"), "keyed")
-    texts = numbered.select(F.col("_row").alias("node"), F.col(text).alias("text")).join(keyed.select("node").distinct(), "node", "left_semi")
-    roots = similar_links(keyed, kept(_sets(texts, width), "sets"), percent)
+    nodes = rows.join(reps.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("node"), "n", "fp")
+    close = kept(fingerprint_pairs(nodes), "close")
+    compared = keyed.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    texts = numbered.select(F.col("_row").alias("node"), F.col(text).alias("text")).join(compared, "node", "left_semi")
+    roots = similar_links(keyed, kept(_sets(texts, width), "sets"), percent, close)
     groups = reps.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     return numbered.join(groups.select("first._row"), "_row", "left_semi").select(*docs.columns)
