@@ -54,3 +54,13 @@ def test_digests_travel_instead_of_long_values(spark):
     assert "md5" in plan
     assert S.distinct_values(df).first().distinct_count == df.distinct().count()
     assert df.select(F.length(S.value_digest("t", df.schema["t"].dataType)).alias("n")).distinct().collect()[0].n == 16
+
+
+def test_numbers_and_times_need_no_digest(spark):
+    rows = [(2**63 - 1, 1, 0.1, dt.datetime(2024, 3, 31, 2, 30), True), (2**63 - 2, 1, 0.1 + 2**-55, dt.datetime(2024, 3, 31, 3, 30), True),
+            (-2**63, None, 0.30000000000000004, dt.datetime(2024, 3, 31, 3, 30, 0, 1), None)]
+    df = spark.createDataFrame(rows, "l long, i int, x double, w timestamp_ntz, f boolean")
+    counts = S.distinct_values(df)
+    assert "md5" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r.column_name: r.distinct_count for r in counts.collect()} == {
+        c: df.select(c).dropna().distinct().count() for c in df.columns}
