@@ -100,10 +100,11 @@ def profile_merged(spark, sf_dir):
         path = shared_folder(spark, "sketches")
         S.store(parts.where("part < 3"), path, "part", columns)
         S.store(parts.where("part >= 2"), path, "part", columns)
-        rows = S.profile_stored(spark, path).join(S.distinct_values(df).withColumnRenamed("distinct_count", "exact"), "column_name")
+        merged = S.profile_stored(spark, path)
+        rows = merged.join(S.distinct_values(df).withColumnRenamed("distinct_count", "exact"), "column_name")
         near = F.abs(F.col("distinct_count") - F.col("exact")) <= 0.05 * F.col("exact")
         numbers = [c for c in columns if c in MERGED_NUMBERS]
-        found = {r.column_name: r.quantiles for r in rows.where("quantiles IS NOT NULL").collect()}
+        found = {r.column_name: r.quantiles for r in merged.where("quantiles IS NOT NULL").collect()}
         shares = df.agg(*[
             (F.greatest(*[F.abs(F.count_if(F.col(c) <= q) / F.count(F.lit(1)) - p) for q, p in zip(found[c], S.QUANTILES)]) <= 0.02)
             | (F.approx_count_distinct(c) < 100) for c in numbers]).first()

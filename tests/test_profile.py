@@ -133,3 +133,13 @@ def test_recommendation(spark):
          ("age", "string", "range", 0.0)], "column_name string, data_type string, rule_logic string, failure_rate double")
     rows = [tuple(r) for r in P.recommend_rules(columns, history).collect()]
     assert rows == [("email", "string", "is_email", 2, 3.0), ("email", "string", "not_null", 1, 0.0)]
+
+
+def test_merged_profile_counts_distinct_values_once(spark, small, monkeypatch):
+    """Quartiles are looked up without the exact counts, which only the result needs."""
+    from queries import load_all
+    from veriframe.operators import sketches
+
+    counted = F.raise_error(F.lit("counted")).cast("string").alias("column_name")
+    monkeypatch.setattr(sketches, "distinct_values", lambda df: df.select(counted, F.lit(1).alias("distinct_count")))
+    assert "exact" not in load_all()[0]["profile_merged"](spark, small).columns
