@@ -186,3 +186,14 @@ def test_custom_sources(spark, users):
     assert create_source("fixed", {}, spark).read_data(table="any").count() == 4
     assert {r.column_name: r.data_type for r in describe(users).collect()} == {
         "email": "string", "name": "string", "age": "bigint"}
+
+
+def test_rows_written_by_rule_are_not_sorted(spark):
+    spark.sql("CREATE TABLE by_rule (x BIGINT, rule_id STRING) USING parquet PARTITIONED BY (rule_id)")
+    try:
+        plan = spark.sql("EXPLAIN INSERT INTO by_rule SELECT id, concat('r', id % 20) FROM range(100)").first()[0]
+        assert "InsertIntoHadoopFsRelationCommand" in plan and "Sort" not in plan
+        spark.sql("INSERT INTO by_rule SELECT id, concat('r', id % 20) FROM range(0, 100, 1, 1)")  # more rules than open files
+        assert spark.table("by_rule").distinct().count() == 100
+    finally:
+        spark.sql("DROP TABLE by_rule")
