@@ -124,3 +124,23 @@ def test_linear_way(spark):
     for a in fps:
         for b in fps:
             assert bool(words[a] & words[b]) == ((a ^ b).bit_count() <= 4)
+
+
+def test_rounds_end_when_edges_are_stars(spark, monkeypatch):
+    written = []
+    folder = sd.shared_folder
+    monkeypatch.setattr(sd, "shared_folder", lambda spark, name: written.append(name) or folder(spark, name))
+    path = [(i, i + 1) for i in range(-3000, 3000)] + [(9000, 9000 + i) for i in range(1, 50)]
+    links = spark.createDataFrame(path, "a long, b long")
+    roots = {**{i: -3000 for i in range(-2999, 3001)}, **{9000 + i: 9000 for i in range(1, 50)}}
+    assert dict(sd.connected(links.coalesce(1)).collect()) == roots
+    assert written == ["stars"]  # all edges lie in one task, and no round follows to see that nothing changes
+    monkeypatch.setattr(sd, "EDGES", 7)
+    got = sd.connected(links.repartition(5)).collect()
+    assert dict(got) == roots and len(got) == len(roots)
+    assert len(written) > 2
+
+
+def test_stars(spark):
+    for edges, stars in (([], True), ([(2, 1), (3, 1)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False), ([(2, 1), (2, 1)], False)):
+        assert sd.are_stars(spark.createDataFrame(edges, "a long, b long")) == stars

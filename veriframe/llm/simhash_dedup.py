@@ -32,6 +32,7 @@ SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit and width
 PAIR_LIMIT = 20_000
 SMALL_RUN = 64
+EDGES = 500_000  # that a task connects at a time
 
 
 # --- fingerprints -------------------------------------------------------------------------------
@@ -159,15 +160,14 @@ def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index of each component of an undirected graph."""
     label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(before, label):
-            break
-    return label
+    while True:
+        left, right = label[a], label[b]
+        apart = left != right
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(left, right)[apart], np.minimum(left, right)[apart])
+        while not np.array_equal(label, up := label[label]):
+            label = up
 
 
 def _spread(fp: np.ndarray) -> np.ndarray:
@@ -261,7 +261,7 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long, kind int")
     path = shared_folder(spark, "links")
     found.distinct().write.parquet(path)
-    found = spark.read.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     links = found.where("kind = 0").select("a", "b")
     crowded = found.where("kind = 1").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
@@ -282,21 +282,55 @@ def _within_two(batches):
 
 
 # --- components ---------------------------------------------------------------------------------
+def contracted(edges: DataFrame) -> DataFrame:
+    """(a, b) with a > b: the edges of each task, up to `EDGES` at a time, as stars around their smallest nodes."""
+    most = EDGES
+
+    def stars(a, b):
+        nodes, ends = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+        left, right = np.split(ends, 2)
+        label = _labels(len(nodes), left, right)
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return table(a=nodes[leaf], b=nodes[label[leaf]])
+
+    def run(batches):
+        a, b, size = [], [], 0
+        for batch in batches:
+            a.append(np.asarray(batch.column("a")))
+            b.append(np.asarray(batch.column("b")))
+            size += batch.num_rows
+            if size >= most:
+                yield stars(a, b)
+                a, b, size = [], [], 0
+        if size:
+            yield stars(a, b)
+
+    return edges.mapInArrow(run, "a long, b long")
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of the edges (a, b) is either the a of one or the b of any number."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return counts.where("up > 1 or (up = 1 and least = 0)").isEmpty()
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) for all nodes of undirected links: alternating large and small stars.
 
-    Each round is written to the shared folder, which cuts the lineage.
+    Each task first connects the edges it has, so that rounds only join up what lies in several.
+    A round is written to the shared folder, which cuts the lineage, and the last is the one whose
+    edges are stars: no further round has to show that nothing changes.
     """
-    spark = links.sparkSession
+    spark = prepare(links.sparkSession)
 
     def kept(df: DataFrame) -> DataFrame:
         path = shared_folder(spark, "stars")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+        contracted(df.distinct()).write.parquet(path)
+        return spark.read.schema("a long, b long").parquet(path)
 
-    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while not are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
@@ -304,12 +338,9 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("low").alias("b")),
-            F.struct(F.col("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+            F.struct(F.col("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b")
         edges = kept(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = tuple(now)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
